@@ -63,7 +63,7 @@ class _Search:
             return
         self.by_room[room].append((b, v))
         self.rooms |= 1 << room
-        items = held if len(held) <= 12 else held[:6] + held[-6:]
+        items = held if len(held) <= 8 else held[:4] + held[-4:]
         for n, i in enumerate(items):
             self._offer(self.sizes[i] + room, (b, v, (i,)))
             for j in items[n + 1 :]:
@@ -116,7 +116,10 @@ class _Search:
         return None
 
     def run(self) -> list[list[int]]:
+        least = -(-sum(self.sizes) // self.capacity)
         for _ in range(PASSES):
+            if sum(map(bool, self.bins)) <= least:
+                break
             improved = False
             for donor in sorted((b for b, held in enumerate(self.bins) if held and self.room[b]), key=lambda b: -self.room[b]):
                 for i in sorted(self.bins[donor], key=lambda i: -self.sizes[i]):

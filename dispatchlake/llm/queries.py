@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlake.llm import components, encode
+from dispatchlake.llm import components, encode, packing, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": components.found,
         "p8_ids": encode.ids,
+        "p9_containers": packing.containers,
+        "p9_report": packing.report,
+        "p10_found": spans.found,
+        "p10_shares": spans.shares,
     }
 
 
