@@ -214,13 +214,13 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 def normalise_instants(values: DataFrame, sources: DataFrame) -> DataFrame:
     """UTC instants of ``values`` (rec_id, source, value, fetched_us; other columns are ignored).
 
-    ``sources`` has id, tz and date_order. Result: rec_id, canonical (already in the plain UTC form), utc_us, reading,
+    ``sources`` has id, tz and date_order, where a null order is estimated. Result: rec_id, canonical (already in the plain UTC form), utc_us, reading,
     posterior; one row per distinct record and reading. Null, blank and unusable values, local times that are skipped
     or repeated by a clock change, and values whose readings stay undecided have a null utc_us. A null or unknown
     source has no zone; its values resolve only where they carry one. Empty input gives no rows.
     """
     known = sources.select(F.col("id").alias("source"), "tz", "date_order").dropDuplicates(["source"])
-    rows = values.select("rec_id", "source", "value", "fetched_us").join(known, "source", "left")
+    rows = values.select("rec_id", F.coalesce("source", F.lit("")).alias("source"), "value", "fetched_us").join(known, "source", "left")
     counts = (
         rows.mapInPandas(lambda b: _read(b, False), "source string, signature string, date_order string")
         .where("signature <> ''")
@@ -234,8 +234,7 @@ def normalise_instants(values: DataFrame, sources: DataFrame) -> DataFrame:
     )
     pick = F.coalesce(*[F.when(F.col("reading") == k, F.col(k)) for k in READINGS])
     return (
-        full.alias("v")
-        .join(chosen.withColumnRenamed("source", "src").withColumnRenamed("signature", "sig"), F.col("source").eqNullSafe(F.col("src")) & (F.col("signature") == F.col("sig")), "left")
+        full.join(chosen, ["source", "signature"], "left")
         .select("rec_id", "canonical", pick.alias("utc_us"), "reading", "posterior")
         .distinct()
     )
@@ -246,9 +245,9 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = table(spark, sf_dir, "sources")
     us = F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched_us")
     raw = table(spark, sf_dir, "raw_items").select(F.col("raw_id").alias("rec_id"), "source", F.col("published_at").alias("value"), us)
-    # A header without zone is GMT whatever the source, and has no order of its own.
-    res = table(spark, sf_dir, "fetch_responses").select(F.col("resp_id").alias("rec_id"), F.lit("http").alias("source"), F.col("last_modified").alias("value"), us)
-    http = spark.createDataFrame([("http", "UTC", None)], "id string, tz string, date_order string")
+    # A header without zone is GMT whatever the source, known or not.
+    responses = table(spark, sf_dir, "fetch_responses").select(F.col("resp_id").alias("rec_id"), F.coalesce("source", F.lit("")).alias("source"), F.col("last_modified").alias("value"), us)
+    res, http = responses, responses.select(F.col("source").alias("id"), F.lit("UTC").alias("tz"), F.lit(None).cast("string").alias("date_order")).distinct()
     parts = [("published_at", normalise_instants(raw, src)), ("last_modified", normalise_instants(res, http))]
     out = [d.where("utc_us is not null and not canonical").select(F.lit(f).alias("field"), "rec_id", "utc_us") for f, d in parts]
     return out[0].unionByName(out[1])
