@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlake.llm import components, encode, packing, spans
+from dispatchlake.llm import components, encode, lookalike, packing, residue, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": components.found,
+        "p6_found": lookalike.found,
+        "p6_forms": lookalike.forms,
+        "p7_found": residue.found,
         "p8_ids": encode.ids,
         "p9_containers": packing.containers,
         "p9_report": packing.report,
