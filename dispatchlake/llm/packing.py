@@ -19,7 +19,7 @@ from dispatchlake.functions.tables import cut, table
 from dispatchlake.llm.encode import count_tokens
 
 #: Items of a group on average; the number of groups follows the number of items.
-GROUP = 40_000
+GROUP = 20_000
 #: Donor visits in one pass over the underfull containers end when a pass empties and improves nothing, or after so many.
 PASSES = 6
 

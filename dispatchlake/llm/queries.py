@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlake.llm import components, encode, lookalike, packing, residue, spans
+from dispatchlake.llm import components, encode, lookalike, packing, residue, spans, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": components.found,
+        "p5_found": vectors.found,
+        "p5_neighbours": vectors.neighbours,
         "p6_found": lookalike.found,
         "p6_forms": lookalike.forms,
         "p7_found": residue.found,
