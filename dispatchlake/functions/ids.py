@@ -68,7 +68,7 @@ def source_id(item: Column, fact_type: Column, field: Column, seq: Column | None
 def interest_key(interest: Column, tags: Column) -> Column:
     """int_ and twelve hex digits of the interest with its sorted tags."""
     low = F.array_sort(F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower))
-    return F.concat(F.lit("int_"), F.substring(F.sha2(F.concat(F.lower(F.trim(interest)), F.lit("\x1f"), F.array_join(low, ",")), 256), 1, 12))
+    return F.concat(F.lit("int_"), F.substring(F.sha2(F.concat(F.lower(F.trim(interest)), F.lit("|"), F.array_join(low, ",")), 256), 1, 12))
 
 
 def archive_cluster_id(date: Column, url: Column, headline: Column) -> Column:
