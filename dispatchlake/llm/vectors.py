@@ -177,11 +177,11 @@ class Index:
         return out
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, kind, embedding) of vectors that have a direction; kind is model and dimension."""
+def usable(vectors: DataFrame, asks: str | None = None) -> DataFrame:
+    """(vec_id, kind, embedding, asks) of vectors that have a direction; kind is model and dimension."""
     ok = F.expr("size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('1e18')) and exists(embedding, x -> abs(x) > float('1e-18'))")
     return vectors.where("vec_id is not null and embedding is not null").where(ok).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.concat_ws(":", F.coalesce("model", F.lit("")), F.size("embedding")).alias("kind"), F.col("embedding").cast("array<float>").alias("embedding")
+        F.col("vec_id").cast("long").alias("vec_id"), F.concat_ws(":", F.coalesce("model", F.lit("")), F.size("embedding")).alias("kind"), F.col("embedding").cast("array<float>").alias("embedding"), (F.coalesce(F.col(asks), F.lit(False)) if asks else F.lit(True)).alias("asks")
     )
 
 
@@ -201,7 +201,7 @@ def _matrix(a: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(a), -1) if len(a) else np.zeros((0, 1), np.float32)
 
 
-_ROW = "kind string, list int, b1 int, b2 int, side int, vec_id long, embedding array<float>, codes binary"
+_ROW = "kind string, list int, b1 int, b2 int, side int, vec_id long, embedding array<float>, codes binary, asks boolean"
 
 
 def _spread(vectors: DataFrame, indexes, long_lists: dict[tuple[str, int], int], narrow: bool) -> DataFrame:
@@ -235,11 +235,12 @@ def _spread(vectors: DataFrame, indexes, long_lists: dict[tuple[str, int], int],
                         pa.array(np.minimum(mine, other), pa.int32()), pa.array(np.maximum(mine, other), pa.int32()),
                         pa.array((mine > other).astype(np.int32)), pa.array(ids[rows][take]),
                         own.take(pa.array(take)).cast(pa.list_(pa.float32())), pa.array([codes[i].tobytes() for i in take], pa.binary()),
+                        b.column(3).take(pa.array(rows[take])),
                     ],
-                    names=["kind", "list", "b1", "b2", "side", "vec_id", "embedding", "codes"],
+                    names=["kind", "list", "b1", "b2", "side", "vec_id", "embedding", "codes", "asks"],
                 )
 
-    return vectors.select("vec_id", "kind", "embedding").mapInArrow(run, "kind string, list int" if narrow else _ROW)
+    return vectors.select("vec_id", "kind", "embedding", "asks").mapInArrow(run, "kind string, list int" if narrow else _ROW)
 
 
 def best_of(ids: np.ndarray, query: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -274,24 +275,29 @@ def _search(code: Code, qx, qid, dx, did, dcodes, k: int, least: float | None):
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
 
 
-def similar_pairs(vectors: DataFrame, k: int = K, least: float = THRESHOLD) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = K, least: float = THRESHOLD, asks: str | None = None) -> DataFrame:
     """(vec_id, other, cosine, rank): of each vector its k most similar of the same model with a cosine of at least ``least``.
 
+    With ``asks``, a boolean column, only its vectors are searched for; the others are there to be found.
+
     Null vectors, vectors of zeros or with parts that are no number have no row; vectors of different dimension are
     never compared; ties go to the lesser id; a row repeated under one vec_id counts once. Equal vectors are searched
     as one, so a group of copies of any size costs no more than its number. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors)
+    rows = usable(vectors, asks)
     key = ["kind", "h1", "h2"]
-    hashed = rows.select("vec_id", "kind", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(3), "embedding").alias("h2")).distinct()
-    copies = hashed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    hashed = rows.select("vec_id", "asks", "kind", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(3), "embedding").alias("h2")).distinct()
+    copies = hashed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.max("asks").alias("any_asks")).where("n > 1")
     members = hashed.join(copies, key).select("vec_id", "rep")
     firsts = (
         members.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(f"rn <= {k + 1}")
         .groupBy("rep").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     )
     alone = rows.join(members.where("vec_id <> rep").select("vec_id"), "vec_id", "left_anti")
+    if asks:
+        told = copies.select(F.col("rep").alias("vec_id"), "any_asks")
+        alone = alone.join(told, "vec_id", "left").withColumn("asks", F.coalesce("any_asks", "asks"))
     fitted = fit_indexes(rows)
     if not fitted:
         return spark.createDataFrame([], "vec_id long, other long, cosine double, rank int")
@@ -306,11 +312,10 @@ def similar_pairs(vectors: DataFrame, k: int = K, least: float = THRESHOLD) -> D
         x = _unit(np.stack(f["embedding"].to_numpy()).astype(np.float64))
         ids = f["vec_id"].to_numpy()
         codes = np.frombuffer(b"".join(f["codes"]), np.uint8).reshape(len(f), -1)
-        if f["b1"].iloc[0] == f["b2"].iloc[0]:
-            found_ = [_search(code, x, ids, x, ids, codes, k, least)]
-        else:
-            a, b = (np.flatnonzero(f["side"].to_numpy() == s) for s in (0, 1))
-            found_ = [_search(code, x[p], ids[p], x[o], ids[o], codes[o], k, least) for p, o in ((a, b), (b, a)) if len(p) and len(o)]
+        a, b = (np.flatnonzero(f["side"].to_numpy() == s) for s in (0, 1))
+        meets = ((a, a),) if f["b1"].iloc[0] == f["b2"].iloc[0] else ((a, b), (b, a))
+        queries = f["asks"].to_numpy(bool)
+        found_ = [_search(code, x[p], ids[p], x[o], ids[o], codes[o], k, least) for p, o in ((p[queries[p]], o) for p, o in meets) if len(p) and len(o)]
         q, n, s = (np.concatenate([y[i] for y in found_] or [np.zeros(0)]) for i in range(3))
         return pd.DataFrame({"q": q.astype(np.int64), "n": n.astype(np.int64), "cosine": s})
 
