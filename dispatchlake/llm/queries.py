@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlake.llm import components, encode, history, lookalike, packing, residue, spans, vectors
+from dispatchlake.llm import boilerplate, components, encode, history, lookalike, packing, residue, spans, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": boilerplate.found,
         "p3_found": components.found,
         "p4_found": history.found,
         "p5_found": vectors.found,
