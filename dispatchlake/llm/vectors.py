@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dispatchlake.functions.tables import table
+from dispatchlake.functions.tables import cut, table
 
 K = 10
 THRESHOLD = 0.90
@@ -289,7 +289,8 @@ def similar_pairs(vectors: DataFrame, k: int = K, least: float = THRESHOLD, asks
     key = ["kind", "h1", "h2"]
     hashed = rows.select("vec_id", "asks", "kind", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(3), "embedding").alias("h2")).distinct()
     copies = hashed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.max("asks").alias("any_asks")).where("n > 1")
-    members = hashed.join(copies, key).select("vec_id", "rep")
+    copies = cut(copies)
+    members = cut(hashed.join(copies, key).select("vec_id", "rep"))
     firsts = (
         members.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(f"rn <= {k + 1}")
         .groupBy("rep").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -320,6 +321,7 @@ def similar_pairs(vectors: DataFrame, k: int = K, least: float = THRESHOLD, asks
         return pd.DataFrame({"q": q.astype(np.int64), "n": n.astype(np.int64), "cosine": s})
 
     near = _spread(alone, indexes, long_lists, False).groupBy("kind", "list", "b1", "b2").applyInPandas(search, "q long, n long, cosine double")
+    near = cut(near.distinct())
     both = near.unionAll(near.select(F.col("n").alias("q"), F.col("q").alias("n"), "cosine")).groupBy("q", "n").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("q").orderBy(F.desc("cosine"), "n")
     top = both.withColumn("rn", F.row_number().over(order)).where(f"rn <= {k + 1}").drop("rn")
