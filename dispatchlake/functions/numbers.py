@@ -66,7 +66,10 @@ def scrub_markup(text: Column) -> Column:
 
 def risky_claims(text: Column) -> Column:
     """Distinct kind:match of every strong claim, kinds in their order."""
-    each = [F.transform(F.regexp_extract_all(_text(text), F.lit(p), F.lit(0)), lambda m, k=k: F.concat(F.lit(k + ":"), m)) for k, p in RISKY.items()]
+    def named(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(_text(text), F.lit(pattern), F.lit(0)), lambda m: F.concat(F.lit(kind + ":"), m))
+
+    each = [named(*x) for x in RISKY.items()]
     return F.array_distinct(F.flatten(F.array(*each)))
 
 

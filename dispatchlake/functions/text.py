@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WS = r"(?U)[\s\x1c-\x1f]+"
-_WORD = r"(?U)\w+"
 # Capitalised words that name nothing.
 ENTITY_STOP = (
     "the a an and or of to in on for with by at from as is are be its it this that these those new says said say after over amid into out off "
@@ -49,11 +49,18 @@ def clean_text(raw: Column) -> Column:
     return folded(unescaped(t))
 
 
+@F.pandas_udf("int")
+def _beyond(body: pd.Series, title: pd.Series) -> pd.Series:
+    known = title.map(lambda t: {w.lower() for w in re.findall(r"\w+", t) if len(w) > 1})
+    return pd.Series([sum(len(w) for w in re.findall(r"\w+", b) if w.lower() not in k) for b, k in zip(body, known)], dtype="int32")
+
+
 def body_beyond_title(content: Column, title: Column) -> Column:
-    """Characters of the body's words that the title, in words of two characters or more, doesn't have."""
-    known = F.filter(F.transform(F.regexp_extract_all(clean_text(title), F.lit(_WORD), F.lit(0)), F.lower), lambda w: F.length(w) > 1)
-    words = F.filter(F.regexp_extract_all(clean_text(content), F.lit(_WORD), F.lit(0)), lambda w: ~F.array_contains(known, F.lower(w)))
-    return F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
+    """Characters of the body's words that the title, in words of two characters or more, doesn't have.
+
+    Unescaping already leaves the JVM, and its result can't enter a lambda, so the words are counted on the way.
+    """
+    return _beyond(clean_text(content), clean_text(title))
 
 
 def source_family(source: Column) -> Column:

@@ -24,12 +24,18 @@ def quota_fold(df: DataFrame, group: str, key: str, score: str, caps: dict[str,
     entry = F.struct((-F.col(score)).alias("s_"), F.col(key).alias("k_"), *caps, *flags)
     rows = first.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("all_"))
 
+    def alike(kept: Column, e: Column, c: str) -> Column:
+        return F.size(F.filter(kept, lambda z: z[c].eqNullSafe(e[c])))
+
+    def flagged(kept: Column, c: str) -> Column:
+        return F.size(F.filter(kept, lambda z: F.coalesce(z[c], F.lit(False))))
+
     def step(kept: Column, e: Column) -> Column:
         ok = F.size(kept) < limit
         for c, n in caps.items():
-            ok = ok & (F.size(F.filter(kept, lambda z, c=c: z[c].eqNullSafe(e[c]))) < n)
+            ok = ok & (alike(kept, e, c) < n)
         for c, n in flags.items():
-            ok = ok & (~F.coalesce(e[c], F.lit(False)) | (F.size(F.filter(kept, lambda z, c=c: F.coalesce(z[c], F.lit(False)))) < n))
+            ok = ok & (~F.coalesce(e[c], F.lit(False)) | (flagged(kept, c) < n))
         return F.when(ok, F.array_append(kept, e)).otherwise(kept)
 
     kept = F.aggregate("all_", F.slice("all_", 1, 0), step)

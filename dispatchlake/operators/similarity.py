@@ -34,12 +34,13 @@ def pairs_at_least(df: DataFrame, key: str, vector: str, least: float, window: t
     rows = rows.withColumn("own", F.floor(F.col("t") / width))
     sizes = rows.groupBy("d", "own").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     rows = rows.join(sizes, ["d", "own"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    blocks = rows.groupBy("d", "own", "part").count().drop("count")
-    meets = blocks.alias("x").join(blocks.alias("y"), F.col("x.d") == F.col("y.d")).where("y.own between x.own - 1 and x.own and (y.own < x.own or y.part <= x.part)") if window else blocks.alias("x").join(blocks.alias("y"), F.col("x.d") == F.col("y.d")).where("y.part <= x.part")
-    meets = meets.select("x.d", F.col("x.own").alias("o1"), F.col("x.part").alias("p1"), F.col("y.own").alias("o2"), F.col("y.part").alias("p2"))
+    blocks = rows.select("d", "own", "part").distinct()
+    left, right = (blocks.select("d", F.col("own").alias(f"o{n}"), F.col("part").alias(f"p{n}")) for n in (1, 2))
+    reach = "o2 between o1 - 1 and o1 and (o2 < o1 or p2 <= p1)" if window else "p2 <= p1"
+    meets = left.join(right, "d").where(reach)
     cell = ["d", "o1", "p1", "o2", "p2"]
-    one = rows.join(meets, (F.col("own") == F.col("o1")) & (F.col("part") == F.col("p1")) & (rows["d"] == meets["d"])).drop(rows["d"]).select(*cell, "id", "v", "t")
-    two = rows.join(meets, (F.col("own") == F.col("o2")) & (F.col("part") == F.col("p2")) & (rows["d"] == meets["d"])).drop(rows["d"]).select(*cell, "id", "v", "t")
+    one, two = (rows.select("d", F.col("own").alias(f"o{n}"), F.col("part").alias(f"p{n}"), "id", "v", "t").join(meets, ["d", f"o{n}", f"p{n}"]).select(*cell, "id", "v", "t") for n in (1, 2))
+    two = two.toDF(*two.columns)  # columns of its own, apart from those of the other side
     kind = df.schema[key].dataType.simpleString()
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
