@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 _WS = r"(?U)[\s\x1c-\x1f]+"
 # Capitalised words that name nothing.
@@ -27,7 +28,7 @@ MIRROR_MARKS = ("google-news", "googlenews", "google_news", "google news")
 SUBJECT_EDGE = "「」『』\"'《》【】()()[]，,。.、!！?？:：;；—-_/\\|·　 "
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
@@ -49,7 +50,7 @@ def clean_text(raw: Column) -> Column:
     return folded(unescaped(t))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _beyond(body: pd.Series, title: pd.Series) -> pd.Series:
     known = title.map(lambda t: {w.lower() for w in re.findall(r"\w+", t) if len(w) > 1})
     return pd.Series([sum(len(w) for w in re.findall(r"\w+", b) if w.lower() not in k) for b, k in zip(body, known)], dtype="int32")
