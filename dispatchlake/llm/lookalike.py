@@ -67,8 +67,21 @@ def _decomposed(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFD", text)
 
 
+class _Calm(dict):
+    """Whether a character, wherever it stands, is its own look."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = calm = not unicodedata.combining(c) and unicodedata.normalize("NFC", unicodedata.normalize("NFD", c).translate(_LOOK)) == c or c.isspace()
+        return calm
+
+
+_CALM = _Calm()
+
+
 def skeleton(text: str) -> str:
     """Equal for texts that look the same: Latin for look-alike letters, runs of any space as one, accents composed."""
+    if text.isascii() or all(map(_CALM.__getitem__, set(text))):
+        return " ".join(text.split())
     return " ".join(unicodedata.normalize("NFC", _decomposed(text).translate(_LOOK)).split())
 
 
