@@ -24,6 +24,8 @@ SPAN = 200
 #: Cells of a sketch row as a power of two, at most: two rows of bits, 32 MB, are broadcast. A larger corpus only has more false alarms.
 MOST_BITS = 27
 _CHUNK_BITS = 18
+#: Characters whose sketches are merged in one place; the merged ones are joined.
+_MERGED = 4_000_000_000
 _CHARS = 1_000_000
 
 
@@ -80,22 +82,30 @@ def _sketch(batches: Iterator[pa.RecordBatch], span: int, bits: int) -> Iterator
             yield pa.RecordBatch.from_pydict({"chunk": [row << 32 | int(chunk[a])], "cells": [inner[a:z].tobytes()], "counts": [n[a:z].tobytes()]})
 
 
-def _merge(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+def _merge(f: pd.DataFrame) -> pd.DataFrame:
+    """Sum of sketches of one chunk: bits of the cells that hold anything, and of those that hold two or more."""
     total = np.zeros(1 << _CHUNK_BITS, np.uint8)
-    chunk = None
-    for f in frames:
-        for chunk, cells, counts in zip(f["chunk"], f["cells"], f["counts"]):
-            at = np.frombuffer(cells, np.uint32)
-            total[at] = np.minimum(total[at] + np.frombuffer(counts, np.uint8), 2)
-    return pd.DataFrame({"chunk": [chunk], "bits": [np.packbits(total > 1).tobytes()]})
+    for cells, counts in zip(f["cells"], f["counts"]):
+        at = np.frombuffer(cells, np.uint32)
+        total[at] = np.minimum(total[at] + np.frombuffer(counts, np.uint8), 2)
+    return pd.DataFrame({"chunk": f["chunk"].iloc[:1], "some": [np.packbits(total > 0).tobytes()], "bits": [np.packbits(total > 1).tobytes()]})
+
+
+def _join(f: pd.DataFrame) -> pd.DataFrame:
+    some, bits = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(len(f), -1) for c in ("some", "bits"))
+    seen, twice = np.zeros_like(some[0]), np.zeros_like(some[0])
+    for a, b in zip(some, bits):
+        twice |= b | (seen & a)
+        seen = seen | a
+    return pd.DataFrame({"chunk": f["chunk"].iloc[:1], "bits": [twice.tobytes()]})
 
 
 def repeated_sketch(docs: DataFrame, span: int) -> tuple[int, list[np.ndarray]]:
     """Bits of the cells whose merged count is two or more, for both rows of the sketch."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(4 * chars / (span / 4) + 1)), _CHUNK_BITS, MOST_BITS))
-    parts = docs.mapInArrow(lambda b: _sketch(b, span, bits), "chunk long, cells binary, counts binary")
-    merged = parts.groupBy("chunk").applyInPandas(lambda f: _merge(iter([f])), "chunk long, bits binary")
+    parts = docs.mapInArrow(lambda b: _sketch(b, span, bits), "chunk long, cells binary, counts binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(1 + chars // _MERGED)))
+    merged = parts.groupBy("chunk", "part").applyInPandas(_merge, "chunk long, some binary, bits binary").groupBy("chunk").applyInPandas(_join, "chunk long, bits binary")
     out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
     step = (1 << _CHUNK_BITS) // 8
     for chunk, packed in merged.toLocalIterator():
