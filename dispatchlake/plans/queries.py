@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dispatchlake.functions import facts, ids, moments, numbers, text, vec
 from dispatchlake.functions.tables import table
-from dispatchlake.operators import relational, selection, similarity, stories, timestamps
+from dispatchlake.operators import archive, quality, relational, selection, similarity, stories, timestamps
 from dispatchlake.streaming import front
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,6 +606,61 @@ def logical_dates(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "summaries").where("run_id like 'daily\\_%'").select("id", moments.logical_date(F.col("run_id"), F.col("created_at"), "Asia/Shanghai").alias("day"))
 
 
+# Archive and checks
+
+
+@query("""
+SELECT progress_date AS date, count(*) AS n, array_to_string(list_sort(list_distinct(list(category) FILTER (category IS NOT NULL))), ',') AS labels, arg_min(doc_id, doc_id) AS top FROM documents WHERE progress_date IS NOT NULL GROUP BY progress_date
+""")
+def archive_index(s: SparkSession, d: str) -> DataFrame:
+    """Items, labels and first item of each day."""
+    rows = table(s, d, "documents").where("progress_date is not null").withColumnRenamed("progress_date", "date")
+    return archive.day_index(rows, "category", "doc_id", "doc_id").select("date", "n", F.array_join("labels", ",").alias("labels"), F.col("top_headline").alias("top"))
+
+
+@query("""
+WITH m AS (SELECT avg(enabled::INT) AS enabled, avg((region IS NOT NULL)::INT) AS has_region, count(DISTINCT id) / count(*) AS unique_ids, avg((weight BETWEEN 0 AND 1)::INT) AS weights_in_range FROM sources),
+t AS (SELECT 'enabled' AS "check", enabled AS v, 0.9::DOUBLE AS threshold, 0.5 AS f FROM m UNION ALL SELECT 'has_region', has_region, 0.9, 0.5 FROM m UNION ALL SELECT 'unique_ids', unique_ids, 1.0, 1.0 FROM m UNION ALL SELECT 'weights_in_range', weights_in_range, 1.0, 0.99 FROM m)
+SELECT "check", round(v, 6) AS value, threshold, CASE WHEN v IS NULL THEN 'ungraded' WHEN v >= threshold THEN 'ok' WHEN v >= f THEN 'warn' ELSE 'fail' END AS level FROM t
+""")
+def registry_quality(s: SparkSession, d: str) -> DataFrame:
+    return quality.registry_checks(table(s, d, "sources"))
+
+
+@query()
+def card_quality(s: SparkSession, d: str) -> DataFrame:
+    return quality.card_checks(table(s, d, "summaries"))
+
+
+@query("SELECT interest_key, count(*) AS n FROM (SELECT interest_key, row_number() OVER (PARTITION BY interest_key ORDER BY id) AS rn FROM summaries WHERE pruned_at IS NULL) WHERE rn <= 12 GROUP BY interest_key")
+def digest_messages(s: SparkSession, d: str) -> DataFrame:
+    """Lines of each interest's message, twelve at most."""
+    live = table(s, d, "summaries").where("pruned_at is null")
+    made = archive.digest_lines(live, "interest_key", "id", "headline", "produced_by")
+    return made.select("interest_key", F.size(F.split("body", "\n")).cast("long").alias("n"))
+
+
+@query("""
+WITH q AS (SELECT embedding AS q FROM item_vectors WHERE vec_id = (SELECT min(vec_id) FROM item_vectors WHERE embedding IS NOT NULL AND len(embedding) = 64)),
+t AS (SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.q::DOUBLE[]), 6) AS similarity FROM item_vectors v, q WHERE len(v.embedding) = 64 AND list_sum(list_transform(v.embedding, lambda x: x * x)) > 0 ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.q::DOUBLE[]) DESC, vec_id LIMIT 25)
+SELECT * FROM t WHERE similarity >= 0.4
+""")
+def cards_recall_floor(s: SparkSession, d: str) -> DataFrame:
+    """Answers to one question's vector: the limit first, then the floor."""
+    v = table(s, d, "item_vectors").where("embedding is not null and size(embedding) = 64")
+    q = v.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q_"))
+    some = v.where("exists(embedding, x -> x <> 0)").join(F.broadcast(q))  # one row
+    return similarity.recall(some, F.col("q_"), "embedding", 25, 0.4, "vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY id) - 1) // 6 AS chunk, id FROM summaries WHERE pruned_at IS NULL AND review_state = 'ok' AND run_id = (SELECT max(run_id) FROM summaries)")
+def chunks_of_six(s: SparkSession, d: str) -> DataFrame:
+    """The last run's cards in batches of six; one run's cards are few and numbered in one order."""
+    live = table(s, d, "summaries").where("pruned_at is null and review_state = 'ok'").select("id", "run_id")
+    last = table(s, d, "summaries").agg(F.max("run_id").alias("run_id"))
+    return live.join(F.broadcast(last), "run_id").select(F.floor((F.row_number().over(Window.orderBy("id")) - 1) / 6).alias("chunk"), "id")
+
+
 # Streams
 
 

@@ -139,3 +139,41 @@ def test_polling(spark):
     asks = spark.createDataFrame([("a", "https://x.org/f", None, None), ("b", "https://x.org/g", "e", None), ("c", "http://127.0.0.1/", None, None), ("d", "file:///etc", None, None)], "source string, url string, etag string, last_modified string")
     got = {r.source: r for r in fetching.poll(asks, fetch).collect()}
     assert got["a"].body == "body" and got["b"].not_modified and got["c"].error == "refused: inside address" and got["d"].error == "refused: scheme" and not calls
+
+
+def test_runs_resume(tmp_path):
+    from dispatchlake.plans import pipeline
+
+    seen, said = [], []
+
+    def stage(name, fail=False):
+        def run(context):
+            seen.append(name)
+            if fail and not context.get("mended"):
+                raise RuntimeError("broken")
+            return {"n": 1}
+
+        return run
+
+    stages = [pipeline.Stage("a", stage("a")), pipeline.Stage("o", stage("o", True), optional=True), pipeline.Stage("b", stage("b", True)), pipeline.Stage("c", stage("c"))]
+    states = pipeline.StateFile(str(tmp_path))
+    with pytest.raises(RuntimeError):
+        pipeline.run_stages(stages, states, "daily_20260101", {}, alert=said.append)
+    assert states.read("daily_20260101").status == "failed" and len(said) == 2
+    assert pipeline.run_stages(stages, states, "daily_20260101", {"mended": True}, alert=said.append).status == "succeeded"
+    assert seen == ["a", "o", "b", "b", "c"]
+    pipeline.run_stages(stages, states, "daily_20260101", {})
+    assert seen == ["a", "o", "b", "b", "c"]
+
+
+def test_archive(spark, tmp_path):
+    from dispatchlake.operators import archive
+
+    rows = spark.createDataFrame([("2026-01-01", "x", "u", 1), ("2026-01-01", "x", "u", 2), ("2026-01-01", "x", "", 3), ("2026-01-01", "x", None, 4), ("2026-01-02", "y", "v", 5)], "date string, label string, url string, id int")
+    old = rows.where("date = '2026-01-02'")
+    assert archive.merge_days(rows, old, "label", "url").count() == 3
+    archive.write_days(rows, str(tmp_path / "days"))
+    archive.write_days(old.withColumn("id", F.lit(9)), str(tmp_path / "days"))
+    got = archive.read_days(spark, str(tmp_path / "days"), "label string, url string, id int, date string")
+    assert got.count() == 5 and got.where("id = 9").count() == 1
+    assert one(spark, archive.highlighted(F.lit("a.B a.b axb"), "A.b")) == "<mark>a.B</mark> <mark>a.b</mark> axb"
