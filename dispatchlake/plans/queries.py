@@ -392,12 +392,27 @@ def bare_numbers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "summaries").select("id", F.array_join(numbers.bare_numbers(F.col("headline")), " ").alias("found"))
 
 
-@query()
+_NUMBER = r"(?:^|[^\p{L}\p{M}\p{N}\p{Pc}{\x{200c}\x{200d}])(\p{Nd}[\p{Nd},.]*%?)"
+
+
+@query(rf"""
+WITH j AS (SELECT s.id, regexp_extract_all(coalesce(tldr_rendered, ''), '{_NUMBER}', 1) AS said, list_transform(regexp_extract_all(concat_ws(' ', n.title, n.content), '{_NUMBER}', 1), lambda x: rtrim(replace(x, ',', ''), '.')) AS held FROM summaries s JOIN news_items n USING (item_id)),
+u AS (SELECT id, unnest(said) AS flagged, held FROM j)
+SELECT DISTINCT id, flagged FROM u WHERE NOT list_contains(held, rtrim(replace(flagged, ',', ''), '.'))
+""")
 def unsourced_numbers(s: SparkSession, d: str) -> DataFrame:
-    """Numbers of a card's text that its item doesn't hold, and the text with them marked."""
+    """Numbers of a card's text that its item doesn't hold."""
     n = table(s, d, "news_items").select("item_id", F.concat_ws(" ", "title", "content").alias("source_text"))
     j = table(s, d, "summaries").select("id", "item_id", "tldr_rendered").join(n, "item_id")
-    return j.select("id", F.array_join(numbers.unsourced_numbers(F.col("tldr_rendered"), F.col("source_text")), " ").alias("flagged"), numbers.scrub_numbers(F.col("tldr_rendered"), F.col("source_text")).alias("shown"))
+    return j.select("id", F.explode(numbers.unsourced_numbers(F.col("tldr_rendered"), F.col("source_text"))).alias("flagged"))
+
+
+@query()
+def scrubbed_texts(s: SparkSession, d: str) -> DataFrame:
+    """Card texts with unsourced numbers marked."""
+    n = table(s, d, "news_items").select("item_id", F.concat_ws(" ", "title", "content").alias("source_text"))
+    j = table(s, d, "summaries").select("id", "item_id", "tldr_rendered").join(n, "item_id")
+    return j.select("id", numbers.scrub_numbers(F.col("tldr_rendered"), F.col("source_text")).alias("shown"))
 
 
 @query()
@@ -437,9 +452,12 @@ def body_beyond_title(s: SparkSession, d: str) -> DataFrame:
     return n.select("item_seq", text.body_beyond_title(F.col("content"), F.col("title")).alias("beyond"))
 
 
-@query()
+@query(rf"""
+SELECT DISTINCT id, e AS entity FROM (SELECT id, rtrim(ltrim(lower(unnest(regexp_extract_all(coalesce(headline, ''), '[A-Za-z][A-Za-z0-9.&\-]{{2,}}'))), '.'), '.') AS e, unnest(regexp_extract_all(coalesce(headline, ''), '[A-Za-z][A-Za-z0-9.&\-]{{2,}}')) AS t FROM summaries)
+WHERE regexp_matches(t, '^[A-Z]') AND e <> '' AND e NOT IN ({", ".join(f"'{w}'" for w in text.ENTITY_STOP)})
+""")
 def salient_entities(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "summaries").select("id", F.array_join(text.salient_entities(F.col("headline")), " ").alias("entities"))
+    return table(s, d, "summaries").select("id", F.explode(text.salient_entities(F.col("headline"))).alias("entity"))
 
 
 @query("SELECT source, lower(trim(source)) AS family, count(*) AS n FROM raw_items WHERE source IS NOT NULL AND NOT regexp_matches(lower(source), 'google[-_ ]?news') GROUP BY ALL")
