@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dispatchlake.functions import facts, ids, moments, numbers, text, vec
 from dispatchlake.functions.tables import table
 from dispatchlake.operators import archive, quality, relational, selection, similarity, stories, timestamps
+from dispatchlake.plans import ranking
 from dispatchlake.streaming import front
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -580,6 +581,60 @@ def rule_score(s: SparkSession, d: str) -> DataFrame:
     return n.select("item_seq", F.round(0.2 * F.coalesce("weight", F.lit(0.5)) + 0.2 * recency + 0.1 * F.least(F.coalesce("source_count", F.lit(1)) / 3, F.lit(1.0)), 6).alias("score"))
 
 
+@query()
+def event_ranking(s: SparkSession, d: str) -> DataFrame:
+    """Each board's ten events, from clusters to quotas."""
+    v = table(s, d, "item_vectors").where("embedding is not null and size(embedding) = 64").groupBy("item_id").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return ranking.rank_events(table(s, d, "news_items"), table(s, d, "sources"), v, _now())
+
+
+@query("""
+WITH c AS (SELECT n.item_seq, m.matcher AS board, count(*) AS n FROM match_pairs m JOIN news_items n ON n.item_id = m.left_id WHERE m.score >= 0.6 AND m.matcher IN ('vector', 'title', 'url') GROUP BY ALL)
+SELECT item_seq, board FROM (SELECT *, row_number() OVER (PARTITION BY item_seq ORDER BY n DESC, board DESC) AS rn FROM c WHERE n >= 2) WHERE rn = 1
+""")
+def label_votes(s: SparkSession, d: str) -> DataFrame:
+    """Labels with two confident votes at least; all else has none."""
+    n = table(s, d, "news_items").select("item_seq", F.col("item_id").alias("left_id"))
+    votes = table(s, d, "match_pairs").join(n, "left_id").select("item_seq", F.col("matcher").alias("board"), "score")
+    return selection.majority_label(votes, "item_seq", "board", 2, ["vector", "title", "url"], "score", 0.6)
+
+
+@query("""
+WITH c AS (SELECT DISTINCT sha256(coalesce(tldr_rendered, '')) AS hash FROM summaries WHERE run_id < 'daily_20260301')
+SELECT s.id, c.hash IS NOT NULL AS cached, contains(coalesce(s.tldr_rendered, ''), 'a') AS vote FROM summaries s LEFT JOIN c ON c.hash = sha256(coalesce(s.tldr_rendered, '')) WHERE s.run_id >= 'daily_20260301'
+""")
+def cached_verdicts(s: SparkSession, d: str) -> DataFrame:
+    """Verdicts on texts, of which those judged in earlier runs aren't asked again."""
+    cards = table(s, d, "summaries")
+    old = cards.where("run_id < 'daily_20260301'").select(F.sha2(F.coalesce("tldr_rendered", F.lit("")), 256).alias("hash"), F.contains(F.coalesce("tldr_rendered", F.lit("")), F.lit("a")).alias("vote")).distinct()
+    new = cards.where("run_id >= 'daily_20260301'").select("id", F.coalesce("tldr_rendered", F.lit("")).alias("t"))
+    told = selection.judge(new, "id", "t", lambda t: "a" in t, old)
+    return told.join(old.select("hash", F.lit(True).alias("cached")), "hash", "left").select("id", F.coalesce("cached", F.lit(False)).alias("cached"), "vote")
+
+
+@query("""
+WITH w AS (SELECT DISTINCT interest_key, unnest(string_split(lower(headline), ' ')) AS word FROM summaries WHERE pruned_at IS NULL AND headline IS NOT NULL),
+o AS (SELECT word, min(interest_key) AS a, max(interest_key) AS b FROM w WHERE word <> '' GROUP BY word)
+SELECT word, a = b AS one_board FROM o
+""")
+def words_across_boards(s: SparkSession, d: str) -> DataFrame:
+    """Words of live headlines, and whether one board alone uses them."""
+    w = table(s, d, "summaries").where("pruned_at is null and headline is not null").select("interest_key", F.explode(F.split(F.lower("headline"), " ")).alias("word")).where("word <> ''")
+    return w.groupBy("word").agg((F.min("interest_key") == F.max("interest_key")).alias("one_board"))
+
+
+@query("""
+SELECT item_id, id FROM (SELECT s.item_id, s.id, row_number() OVER (PARTITION BY s.item_id ORDER BY s.created_at, s.id) AS rn FROM summaries s WHERE s.cluster_id IS NOT NULL
+ AND s.cluster_id NOT IN (SELECT cluster_id FROM summaries WHERE run_id < 'daily_20260210' AND cluster_id IS NOT NULL)) WHERE rn = 1
+""")
+def not_yet_linked(s: SparkSession, d: str) -> DataFrame:
+    """First cards of items whose cluster no earlier run has linked."""
+    cards = table(s, d, "summaries").where("cluster_id is not null")
+    linked = cards.where("run_id < 'daily_20260210'").select("cluster_id").distinct()
+    left = cards.join(linked, "cluster_id", "left_anti")
+    return left.groupBy("item_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("id"))
+
+
 # Stories over days
 
 
