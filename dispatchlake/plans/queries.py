@@ -18,8 +18,7 @@ _QUERIES: dict[str, Query] = {"p1_found": timestamps.found}
 _SQL: dict[str, str] = {}
 
 #: The present of the test tables.
-NOW = "2026-03-10 00:00:00"
-EVENTS_NOW = "2024-01-31 00:00:00"
+NOW = "2026-03-10T00:00:00Z"
 _SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -85,7 +84,7 @@ def interest_keys(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_seq, rank() OVER (ORDER BY published_at DESC NULLS LAST, item_id) AS place FROM news_items WHERE fetched_at >= TIMESTAMPTZ '2026-03-01 00:00:00+00'")
 def items_recent_nulls_last(s: SparkSession, d: str) -> DataFrame:
-    n = table(s, d, "news_items").where(F.col("fetched_at") >= F.lit("2026-03-01 00:00:00").cast("timestamp"))
+    n = table(s, d, "news_items").where(F.col("fetched_at") >= F.lit("2026-03-01T00:00:00Z").cast("timestamp"))
     return n.select("item_seq", F.rank().over(Window.orderBy(F.desc_nulls_last("published_at"), "item_id")).cast("long").alias("place"))
 
 
@@ -101,7 +100,7 @@ WHERE list_contains(s.enrich, 'fulltext') AND n.fetched_at >= TIMESTAMPTZ '2026-
 """)
 def fulltext_candidates(s: SparkSession, d: str) -> DataFrame:
     src = table(s, d, "sources").where(F.array_contains("enrich", "fulltext")).select(F.col("id").alias("source"))
-    n = table(s, d, "news_items").where((F.col("fetched_at") >= F.lit("2026-02-15").cast("timestamp")) & (F.coalesce(F.length("content"), F.lit(0)) < 400))
+    n = table(s, d, "news_items").where((F.col("fetched_at") >= F.lit("2026-02-15T00:00:00Z").cast("timestamp")) & (F.coalesce(F.length("content"), F.lit(0)) < 400))
     lacks = F.col("facts").isNull() | F.get_json_object("facts", "$.fulltext").isNull()
     return n.where(lacks).join(src, "source", "left_semi").select("item_seq", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("n_chars"))
 
@@ -112,7 +111,7 @@ WHERE n.source IN (SELECT id FROM sources WHERE enabled AND NOT board_only) AND
 """)
 def recent_or_undated_of_sources(s: SparkSession, d: str) -> DataFrame:
     src = table(s, d, "sources").where("enabled and not board_only").select(F.col("id").alias("source"))
-    n = table(s, d, "news_items").where(F.col("published_at").isNull() | (F.col("published_at") >= F.lit("2026-03-01").cast("timestamp")))
+    n = table(s, d, "news_items").where(F.col("published_at").isNull() | (F.col("published_at") >= F.lit("2026-03-01T00:00:00Z").cast("timestamp")))
     return n.join(src, "source", "left_semi").select("item_seq", F.col("published_at").isNull().alias("undated"))
 
 
