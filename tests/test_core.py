@@ -177,3 +177,35 @@ def test_archive(spark, tmp_path):
     got = archive.read_days(spark, str(tmp_path / "days"), "label string, url string, id int, date string")
     assert got.count() == 5 and got.where("id = 9").count() == 1
     assert one(spark, archive.highlighted(F.lit("a.B a.b axb"), "A.b")) == "<mark>a.B</mark> <mark>a.b</mark> axb"
+
+
+def test_scores(spark):
+    from dispatchlake.functions import scores
+
+    assert one(spark, scores.velocity(F.lit(3), F.lit(0), 2.0)) == 0.0
+    assert one(spark, scores.velocity(F.lit(9), F.lit(3), 2.0)) == 2.0
+    assert one(spark, scores.heat(F.lit(-1.0), F.lit(1.0))) == 0.0
+    assert one(spark, scores.recency(F.lit(6.0), F.lit(24))) == 0.75
+    assert one(spark, scores.recency(F.lit(None).cast("double"), F.lit(24))) == 0.0
+    assert one(spark, scores.blend(F.lit(1.0), F.lit(0.5))) == pytest.approx(0.8)
+    assert one(spark, scores.blend(F.lit(None).cast("double"), F.lit(0.5))) == 0.5
+    assert one(spark, scores.best_key(F.create_map(F.lit("b"), F.lit(0.5), F.lit("a"), F.lit(0.5)))) == "a"
+    assert one(spark, scores.relevance_gate(F.lit(0.4), F.lit(True))) and not one(spark, scores.relevance_gate(F.lit(0.4), F.lit(False)))
+    assert one(spark, scores.pair_key(F.lit("x"), F.lit("y"))) == one(spark, scores.pair_key(F.lit("y"), F.lit("x")))
+    assert one(spark, scores.age_label(F.lit(-3.0))) == "0h"
+
+
+def test_headline_repair(spark):
+    from dispatchlake.operators import coherence
+
+    e = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1.0]]
+    cards = spark.createDataFrame([("b", 1, e[1], e[0]), ("b", 2, e[0], e[1]), ("b", 3, e[2], e[2]), ("c", 4, e[0], e[1]), ("c", 5, None, e[1])], "batch string, id int, h array<double>, v array<double>")
+    assert {tuple(r) for r in coherence.repair_headlines(cards, "batch", "id", "h", "v").collect()} == {("b", 1, 2), ("b", 2, 1)}
+
+
+def test_command_line(capsys):
+    from dispatchlake.plans import cli
+
+    assert cli.main(["--list"]) == 0 and "cluster_heat" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["nothing"])
