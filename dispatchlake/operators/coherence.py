@@ -32,6 +32,7 @@ def repair_headlines(cards: DataFrame, batch: str, key: str, headline: str, body
 
     ``headline`` and ``body`` are vectors of one size; a batch is what one request made, some twenty cards at most.
     """
+    cards = cards.select(batch, key, headline, body)
     kinds = {c: cards.schema[c].dataType.simpleString() for c in (batch, key)}
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -42,6 +43,7 @@ def repair_headlines(cards: DataFrame, batch: str, key: str, headline: str, body
         h, b = (np.stack(f[c].to_numpy()).astype(float) for c in (headline, body))
         h, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) for x in (h, b))
         plan = plan_repair(h @ b.T, floor, margin)
-        return pd.DataFrame([(f[batch].iloc[0], keys[i], None if j is None else keys[j]) for i, j in plan.items()], columns=[batch, key, "belongs_to"])
+        fits = [None if j is None else keys[j] for j in plan.values()]
+        return pd.DataFrame({batch: [f[batch].iloc[0]] * len(plan), key: [keys[i] for i in plan], "belongs_to": pd.Series(fits, dtype=object)})
 
     return cards.groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {key} {kinds[key]}, belongs_to {kinds[key]}")

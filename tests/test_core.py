@@ -198,7 +198,7 @@ def test_scores(spark):
 def test_headline_repair(spark):
     from dispatchlake.operators import coherence
 
-    e = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1.0]]
+    e = [[float(i == j) for j in range(4)] for i in range(4)]
     cards = spark.createDataFrame([("b", 1, e[1], e[0]), ("b", 2, e[0], e[1]), ("b", 3, e[2], e[2]), ("c", 4, e[0], e[1]), ("c", 5, None, e[1])], "batch string, id int, h array<double>, v array<double>")
     assert {tuple(r) for r in coherence.repair_headlines(cards, "batch", "id", "h", "v").collect()} == {("b", 1, 2), ("b", 2, 1)}
 
