@@ -39,11 +39,11 @@ def repair_headlines(cards: DataFrame, batch: str, key: str, headline: str, body
         f = f.dropna(subset=[headline, body]).sort_values(key)
         keys = f[key].tolist()
         if not keys:
-            return pd.DataFrame({batch: [], key: [], "belongs_to": []})
+            return pd.DataFrame(columns=[batch, key, "belongs_to"], dtype=object)
         h, b = (np.stack(f[c].to_numpy()).astype(float) for c in (headline, body))
         h, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) for x in (h, b))
         plan = plan_repair(h @ b.T, floor, margin)
         fits = [None if j is None else keys[j] for j in plan.values()]
-        return pd.DataFrame({batch: [f[batch].iloc[0]] * len(plan), key: [keys[i] for i in plan], "belongs_to": pd.Series(fits, dtype=object)})
+        return pd.DataFrame({batch: [f[batch].iloc[0]] * len(plan), key: [keys[i] for i in plan], "belongs_to": fits}, dtype=object)
 
     return cards.groupBy(batch).applyInPandas(run, f"{batch} {kinds[batch]}, {key} {kinds[key]}, belongs_to {kinds[key]}")

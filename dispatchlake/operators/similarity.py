@@ -45,7 +45,7 @@ def pairs_at_least(df: DataFrame, key: str, vector: str, least: float, window: t
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+            return pd.DataFrame(columns=["a", "b", "cosine"], dtype=object)
         x, y = (np.stack(f["v"].to_numpy()) for f in (left, right))
         nx, ny = (np.linalg.norm(z, axis=1) for z in (x, y))
         s = (x @ y.T) / np.maximum(np.outer(nx, ny), 1e-300)
