@@ -34,8 +34,8 @@ def test_text(spark):
     assert one(spark, text.clean_text(F.lit(None).cast("string"))) == ""
     assert one(spark, text.body_beyond_title(F.lit("<a>Big News</a> extra"), F.lit("big news"))) == 5
     assert one(spark, text.source_family(F.lit(" X-Google-News-fr "))) == "google-news"
-    assert one(spark, text.salient_entities(F.lit("The OpenAI said OpenAI and nvidia"))) == ["openai"]
-    assert one(spark, text.subject_closeness(F.lit("OpenAI IPO"), F.lit("OpenAI IPO 获批"))) == 1.0
+    assert one(spark, text.salient_entities(F.lit("The Orun said Orun and velar"))) == ["orun"]
+    assert one(spark, text.subject_closeness(F.lit("Orun port"), F.lit("《Orun》 port 罢工"))) == 1.0
     assert one(spark, text.repo_key(F.lit("https://github.com/Own/Repo/tree"))) == "own/repo"
     assert one(spark, text.name_tokens(F.lit("own/hermes-agent"))) == ["hermes"]
 
