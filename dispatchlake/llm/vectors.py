@@ -332,6 +332,75 @@ def similar_pairs(vectors: DataFrame, k: int = K, least: float = THRESHOLD, asks
     return ranked.where(f"rank <= {k}").select("vec_id", "other", "cosine", "rank")
 
 
+def _links(code: Code, qx, qid, dx, did, dcodes, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (lesser, greater id) that stand for all pairs with a cosine of at least ``least``.
+
+    The least partner of every vector that has a lesser one is among them, and they connect what all pairs connect.
+    """
+    ids = np.unique(np.concatenate([qid, did]))
+    least_of, label, kept = np.arange(len(ids)), np.arange(len(ids)), []
+    step = max(1, 4_000_000 // max(1, len(dx)))
+    for a in range(0, len(qx), step):
+        q = qx[a : a + step]
+        i, j = np.nonzero(code.scan(q, dcodes) >= least - code.slack)
+        exact = np.concatenate([np.zeros(0)] + [np.einsum("ij,ij->i", q[i[c : c + 200_000]], dx[j[c : c + 200_000]]) for c in range(0, len(i), 200_000)])
+        near = exact >= least
+        x, y = np.searchsorted(ids, qid[a + i[near]]), np.searchsorted(ids, did[j[near]])
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        np.minimum.at(least_of, y, x)
+        while (apart := label[x] != label[y]).any():
+            x, y = x[apart], y[apart]
+            low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            hooked, by = np.unique(high, return_index=True)
+            kept.append((x[by], y[by]))
+            to = np.arange(len(ids))
+            to[hooked] = low[by]
+            while (to[to] != to).any():
+                to = to[to]
+            label = to[label]
+    has = np.flatnonzero(least_of < np.arange(len(ids)))
+    low, high = (np.concatenate(z) for z in zip((least_of[has], has), *kept))
+    return ids[low], ids[high]
+
+
+def links(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
+    """(vec_id, other), other < vec_id, for the pairs of one model with a cosine of at least ``least``, however many a vector has.
+
+    Of all these pairs each vector that has a lesser partner keeps the least one in every block, and enough more are
+    kept to connect what all pairs connect; so a group of any size has rows in proportion to its size. Vectors without
+    a direction have no row; equal vectors are searched as one.
+    """
+    spark = vectors.sparkSession
+    rows = usable(vectors)
+    key = ["kind", "h1", "h2"]
+    hashed = rows.select("vec_id", "kind", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(3), "embedding").alias("h2")).distinct()
+    copies = hashed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    members = cut(hashed.join(copies, key).where("vec_id <> rep").select("vec_id", F.col("rep").alias("other")))
+    alone = rows.join(members.select("vec_id"), "vec_id", "left_anti")
+    fitted = fit_indexes(rows)
+    if not fitted:
+        return spark.createDataFrame([], "vec_id long, other long")
+    indexes = spark.sparkContext.broadcast(fitted)
+    counts = _spread(alone, indexes, {}, True).groupBy("kind", "list").count().where(f"count > {BLOCK}")
+    # At most MOST_LISTS rows for each kind.
+    long_lists = {(r["kind"], r["list"]): -(-r["count"] // BLOCK) for r in counts.toLocalIterator()}
+
+    def search(f: pd.DataFrame) -> pd.DataFrame:
+        code = indexes.value[f["kind"].iloc[0]].code
+        f = f.drop_duplicates(["vec_id", "side"])
+        x = _unit(np.stack(f["embedding"].to_numpy()).astype(np.float64))
+        ids = f["vec_id"].to_numpy()
+        codes = np.frombuffer(b"".join(f["codes"]), np.uint8).reshape(len(f), -1)
+        a, b = (np.flatnonzero(f["side"].to_numpy() == s) for s in (0, 1))
+        if f["b1"].iloc[0] == f["b2"].iloc[0]:
+            b = a
+        low, high = _links(code, x[a], ids[a], x[b], ids[b], codes[b], least) if len(a) and len(b) else (ids[:0], ids[:0])
+        return pd.DataFrame({"vec_id": high, "other": low})
+
+    near = _spread(alone, indexes, long_lists, False).groupBy("kind", "list", "b1", "b2").applyInPandas(search, "vec_id long, other long")
+    return near.unionByName(members).distinct()
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p5_found of TESTDATA.md."""
     pairs = similar_pairs(table(spark, sf_dir, "item_vectors").select("vec_id", "embedding", "model"))

@@ -240,6 +240,24 @@ def test_repeats(spark):
     assert history.repeats(df.limit(0), vecs.limit(0)).count() == 0
 
 
+def test_more_near_vectors_than_ten(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal(32)
+    near = v + 0.08 * rng.standard_normal((120, 32))
+    u = near / np.linalg.norm(near, axis=1)[:, None]
+    assert (u @ u.T).min() > 0.93
+    pairs = [(i, j) for i in range(120) for j in range(i) if u[i] @ u[j] >= 0.98]
+    word = lambda i: "".join(chr(97 + int(x)) for x in np.random.default_rng(i).integers(0, 26, 12))
+    items = spark.createDataFrame([(i, 0 if i < 5 else 1, f"id{i}", f"{word(i)} {word(i + 500)}", f"{word(i + 1000)} {word(i + 2000)}", "en", None) for i in range(120)], "item_seq long, batch_no int, item_id string, title string, content string, lang string, url string")
+    vecs = spark.createDataFrame([(500 - i, f"id{i}", x.tolist(), "m") for i, x in enumerate(near.astype(np.float32))], "vec_id long, item_id string, embedding array<float>, model string")
+    up = list(range(120))
+    for _ in range(120):
+        for i, j in pairs:
+            up[i] = up[j] = min(up[i], up[j])
+    assert max(sum(j in p for p in pairs) for j in range(120)) > 20
+    assert rows(history.repeats(items, vecs)) == sorted((up[i], i) for i in {i for i, _ in pairs} if i >= 5)
+
+
 def test_batches_one_by_one_equal_all_at_once(spark, tmp_path):
     items = spark.createDataFrame(story_items(), "item_seq long, batch_no int, item_id string, title string, content string, lang string, url string").fillna({"batch_no": 0})
     none = spark.createDataFrame([], "item_seq long")
