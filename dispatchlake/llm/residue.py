@@ -1,8 +1,8 @@
 """Template residue, filler and error pages in place of content.
 
 Fields are aligned as templates: in a field the units are its lines and sentences, with numbers and request ids as
-slots. A slot that keeps the marked-up name of a variable is unfilled, unless records of other stories keep the same
-name in the same surroundings: then it is part of what the template says, as in a report about template languages.
+slots. A slot that keeps the marked-up name of a variable is unfilled, in however many records, unless the text talks
+about it: it stands in quotes, or the words around it name a notation and records of other stories say the same.
 Whole-page templates grow from known units: a unit that stands in short fields only beside known ones belongs to the
 same page, and so does a constant content that recurs, without a filled slot, over unrelated records.
 """
@@ -63,7 +63,9 @@ _UNITS = re.compile(r"(?<=[.!?…])\s+|(?<=。)|(?<=！)|(?<=？)|\n")
 _WORDS = re.compile(r"\w+")
 #: Units of a short field at most, and its characters: beyond that a field isn't a whole-page template.
 SHORT_UNITS, SHORT_CHARS = 8, 500
-#: Records of other stories in which a marker must keep its surroundings to be part of the text.
+#: Words that tell that a text speaks about a marker.
+_NOTATION = re.compile("variable|placeholder|template|syntax|notation|markup|platzhalter|vorlage|gabarit|plantilla|变量|占位符|模板|променлив|шаблон")
+#: Records of other stories in which a marker with such words must keep its surroundings to be part of the text.
 MENTIONS = 4
 #: A constant content must recur over so many records whose titles begin differently, mostly.
 UNRELATED = 6
@@ -103,9 +105,9 @@ def _fields(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 marks = []
                 for m in MARKER.finditer(shown) if any(x in shown for x in _OPENINGS) else ():
                     quoted = shown[: m.start()].rstrip(" ")[-1:] in _QUOTES and shown[m.end() :].lstrip(" ")[:1] in _QUOTES and m.start() > 0
-                    around = _WORDS.findall(shown[max(0, m.start() - 60) : m.start()])[-2:], _WORDS.findall(shown[m.end() : m.end() + 60])[:1]
+                    before, after = (_WORDS.findall(MARKER.sub(" ", x)) for x in (shown[max(0, m.start() - 60) : m.start()], shown[m.end() : m.end() + 60]))
                     if not quoted:
-                        marks.append(_hash(f"{around}{m[0]}") if around[0] or around[1] else 0)
+                        marks.append(_hash(f"{before[-2:], after[:1]}{m[0]}") if _NOTATION.search(" ".join(before[-4:] + after[:2]).casefold()) else 0)
                 short = len(shown) <= SHORT_CHARS
                 filler = not _LONG_FILLER.isdisjoint(shown.casefold().replace(".", " ").split())
                 units = [u for u in map(masked, _UNITS.split(_ID.sub("\\g<0>\n", shown) if short else shown)) if u] if short or filler else []

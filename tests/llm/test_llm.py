@@ -215,6 +215,13 @@ def test_pages_grow_from_known_units(spark):
     assert found(items + [(9, "Other", "Kindly come back tomorrow.")]) == []
 
 
+def test_one_template_in_thousands_of_records(spark):
+    items = [(i, f"Story{i} of day", "By {{author_name}} in {{category}}\nThey sail on.") for i in range(3000)] + [(i, "News from ${city} today", f"Boats{i} came home.") for i in range(3000, 3100)]
+    items += [(i, f"Engine{i} of choice", f"In town{i}" + " a page writes the variable as {{ name }} and goes on.") for i in range(4000, 4010)]
+    found = rows(residue.residue(spark.createDataFrame(items, "item_seq long, title string, content string")))
+    assert found == [(i, "content") for i in range(3000)] + [(i, "title") for i in range(3000, 3100)]
+
+
 # p4
 
 
