@@ -4,7 +4,8 @@ Fields are aligned as templates: in a field the units are its lines and sentence
 slots. A slot that keeps the marked-up name of a variable is unfilled, in however many records, unless the text talks
 about it: it stands in quotes, or the words around it name a notation and records of other stories say the same.
 Whole-page templates grow from known units: a unit that stands in short fields only beside known ones belongs to the
-same page, and so does a constant content that recurs, without a filled slot, over unrelated records.
+same page, and so does a constant content that recurs, without a filled slot, over unrelated records. In longer fields a
+unit must do so over unrelated records, and nearly all units of the field must be known or learned.
 """
 
 from __future__ import annotations
@@ -61,8 +62,10 @@ _OPENINGS = ("{", "<", "[", "__", "%%")
 _QUOTES = "`\"'“”„‘’«»‚「」『』"
 _UNITS = re.compile(r"(?<=[.!?…])\s+|(?<=。)|(?<=！)|(?<=？)|\n")
 _WORDS = re.compile(r"\w+")
-#: Units of a short field at most, and its characters: beyond that a field isn't a whole-page template.
+#: Units of a short field at most, and its characters: beyond that more evidence is asked for.
 SHORT_UNITS, SHORT_CHARS = 8, 500
+#: Share of the units of a longer field that must be known or learned.
+SHARE = 0.9
 #: Words that tell that a text speaks about a marker.
 _NOTATION = re.compile("variable|placeholder|template|syntax|notation|markup|platzhalter|vorlage|gabarit|plantilla|变量|占位符|模板|променлив|шаблон")
 #: Records of other stories in which a marker with such words must keep its surroundings to be part of the text.
@@ -93,8 +96,8 @@ def known(unit: str) -> bool:
 
 
 def _fields(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per field what can be said of it alone, its units' hashes if it is short, and its markers' surroundings."""
-    names = ["item_seq", "field", "sure", "units", "known", "raw", "other", "marks", "filled"]
+    """Per field what can be said of it alone, its units' hashes, and its markers' surroundings."""
+    names = ["item_seq", "field", "sure", "units", "known", "raw", "other", "marks", "filled", "short"]
     for f in frames:
         out = []
         for seq, *texts in zip(f["item_seq"], f["title"], f["content"]):
@@ -108,13 +111,12 @@ def _fields(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     before, after = (_WORDS.findall(MARKER.sub(" ", x)) for x in (shown[max(0, m.start() - 60) : m.start()], shown[m.end() : m.end() + 60]))
                     if not quoted:
                         marks.append(_hash(f"{before[-2:], after[:1]}{m[0]}") if _NOTATION.search(" ".join(before[-4:] + after[:2]).casefold()) else 0)
-                short = len(shown) <= SHORT_CHARS
                 filler = not _LONG_FILLER.isdisjoint(shown.casefold().replace(".", " ").split())
-                units = [u for u in map(masked, _UNITS.split(_ID.sub("\\g<0>\n", shown) if short else shown)) if u] if short or filler else []
-                short = short and len(units) <= SHORT_UNITS
+                units = [u for u in map(masked, _UNITS.split(_ID.sub("\\g<0>\n", shown))) if u]
+                short = len(shown) <= SHORT_CHARS and len(units) <= SHORT_UNITS
                 out.append((
-                    seq, field, filler and any(map(_latin, units)), [_hash(u) for u in units] if short else [], [known(u) for u in units] if short else [],
-                    _hash(shown), other, marks, bool(_DIGITS.search(shown)) if short else True,
+                    seq, field, filler and any(map(_latin, units)), [_hash(u) for u in units], [known(u) for u in units],
+                    _hash(shown), other, marks, short and bool(_DIGITS.search(shown)), short,
                 ))
         yield pd.DataFrame(out, columns=names)
 
@@ -124,7 +126,7 @@ def residue(items: DataFrame) -> DataFrame:
 
     Null, empty and blank fields are no case; rows repeated under one item_seq count once. Other columns are ignored.
     """
-    schema = "item_seq long, field string, sure boolean, units array<long>, known array<boolean>, raw long, other long, marks array<long>, filled boolean"
+    schema = "item_seq long, field string, sure boolean, units array<long>, known array<boolean>, raw long, other long, marks array<long>, filled boolean, short boolean"
     rows = cut(items.select("item_seq", "title", "content").mapInPandas(_fields, schema).where("sure or size(units) > 0 or size(marks) > 0").distinct())
     key = ["item_seq", "field"]
 
@@ -132,18 +134,28 @@ def residue(items: DataFrame) -> DataFrame:
     said = marks.where("mark <> 0").select("mark", "other").distinct().groupBy("mark").count().where(F.col("count") >= MENTIONS).select("mark")
     slots = marks.join(said, "mark", "left_anti").select(*key)
 
-    short = rows.where("size(units) > 0").withColumn("some", F.exists("known", lambda k: k))
-    unit = short.select(*key, "some", "other", F.inline(F.arrays_zip(F.col("units").alias("unit"), F.col("known").alias("is_known"))), (F.size("units") == 1).alias("alone"), "raw", "filled")
-    beside = unit.where("not is_known").groupBy("unit").agg(F.count("*").alias("n"), F.sum(F.col("some").cast("int")).alias("with"))
-    grown = beside.where("n >= 2 and `with` >= 0.9 * n").select("unit")
-    alone = short.where("field = 'content' and size(units) = 1").select(F.col("units")[0].alias("unit"), "raw", "other", "field", "filled")
+    fields = rows.where("size(units) > 0").withColumn("some", F.exists("known", lambda k: k))
+    unit = fields.select(*key, "some", "other", "short", F.inline(F.arrays_zip(F.col("units").alias("unit"), F.col("known").alias("is_known"))))
+    count = lambda c: F.sum(F.expr(c).cast("int"))
+    beside = unit.where("not is_known").groupBy("unit", "other").agg(F.count("*").alias("n"), count("some").alias("with"), count("short").alias("n_short"), count("short and some").alias("with_short"))
+    beside = beside.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("n", "with", "n_short", "with_short")), F.count("*").alias("others"))
+    wide = F.expr(f"others >= {UNRELATED} and `with` >= 0.9 * n")
+    grown = beside.where(F.expr("n_short >= 2 and with_short >= 0.9 * n_short") | wide).select("unit", wide.alias("wide"))
+    whole = F.when(F.col("short"), F.col("units")[0]).otherwise(F.xxhash64("units"))
+    alone = fields.where("field = 'content' and (size(units) = 1 or not short)").select(*key, whole.alias("whole"), "raw", "other", "filled")
     constant = (
-        alone.groupBy("field", "unit", "raw", "other").agg(F.count("*").alias("c"), F.max("filled").alias("filled"))
-        .groupBy("field", "unit").agg(F.countDistinct("raw").alias("raws"), F.count("*").alias("others"), F.sum("c").alias("n"), F.max("filled").alias("filled"))
-        .where(F.expr(f"raws <= 2 and not filled and others >= {UNRELATED} and others >= 0.5 * n")).select("unit")
+        alone.groupBy("whole", "raw", "other").agg(F.count("*").alias("c"), F.max("filled").alias("filled"))
+        .groupBy("whole").agg(F.countDistinct("raw").alias("raws"), F.count("*").alias("others"), F.sum("c").alias("n"), F.max("filled").alias("filled"))
+        .where(F.expr(f"raws <= 2 and not filled and others >= {UNRELATED} and others >= 0.5 * n")).select("whole")
     )
-    learned = cut(grown.union(constant).distinct()).withColumn("learned", F.lit(True))
-    pages = unit.join(learned, "unit", "left").groupBy(*key).agg(F.min(F.coalesce(F.col("is_known") | F.col("learned"), F.col("is_known"))).alias("all")).where("all").select(*key)
+    constant = cut(constant)
+    learned = cut(grown.union(constant.select("whole", F.lit(True))).groupBy("unit").agg(F.max("wide").alias("wide")))
+    told = F.col("is_known") | F.when(F.col("short"), F.col("wide").isNotNull()).otherwise(F.coalesce("wide", F.lit(False)))
+    pages = (
+        unit.join(learned, "unit", "left").groupBy(*key, "short", "some").agg(F.avg(told.cast("int")).alias("share"))
+        .where(F.expr(f"share = 1 or not short and some and share >= {SHARE}")).select(*key)
+    )
+    pages = pages.union(alone.join(constant, "whole", "left_semi").select(*key))
     return rows.where("sure").select(*key).union(slots).union(pages).distinct()
 
 

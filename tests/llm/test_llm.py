@@ -215,6 +215,16 @@ def test_pages_grow_from_known_units(spark):
     assert found(items + [(9, "Other", "Kindly come back tomorrow.")]) == []
 
 
+def test_long_error_pages(spark):
+    lines = ["500 Internal Server Error"] + [f"The machine {w} could not finish what your browser had asked it to do for you" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()]
+    page, notice = ". ".join(lines) + ".\nRay ", "\n".join(f"Readers of the {w} edition will find what they asked for here soon" for w in lines)
+    items = [(i, f"Boats{i} come home", page + f"{i + 7}f2e3d4c5b6a") for i in range(8)] + [(i, f"Ships{i} come home", notice) for i in range(10, 18)]
+    items += [(i, f"Trains{i} come home", "Access denied.\n" + " ".join(f"They w{chr(97 + i % 26)}{chr(97 + k)}x the harbour of Orun and went on." for k in range(20))) for i in range(20, 30)]
+    items += [(i, "Trains come home", " ".join(f"They went to the harbour of town{k} and went on." for k in "abcdefghijklmnop")) for i in range(30, 40)]
+    found = rows(residue.residue(spark.createDataFrame(items, "item_seq long, title string, content string")))
+    assert len(page) > 500 and found == [(i, "content") for i in [*range(8), *range(10, 18)]]
+
+
 def test_one_template_in_thousands_of_records(spark):
     items = [(i, f"Story{i} of day", "By {{author_name}} in {{category}}\nThey sail on.") for i in range(3000)] + [(i, "News from ${city} today", f"Boats{i} came home.") for i in range(3000, 3100)]
     items += [(i, f"Engine{i} of choice", f"In town{i}" + " a page writes the variable as {{ name }} and goes on.") for i in range(4000, 4010)]
