@@ -257,6 +257,24 @@ def test_repeats(spark):
     assert history.repeats(df.limit(0), vecs.limit(0)).count() == 0
 
 
+def test_brief_texts_share_a_key():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = lambda a, b, zh: len(np.intersect1d(history.fingerprints(a, zh), history.fingerprints(b, zh))) > 0
+    for n in range(7, 60):
+        for zh in (False, True):
+            for _ in range(20):
+                a = [word() for _ in range(n)]
+                b = list(a)
+                for k in rng.sample(range(n), int(0.15 * n)):
+                    b[k] = word()
+                assert shared(a, b, zh), (n, zh)
+                c = [w for k, w in enumerate(a) if n > 19 or k != n // 2]
+                assert n > 19 or shared(a, c, zh)
+    long = [word() for _ in range(140)]
+    assert shared(long, [word() if k % 7 == 6 else w for k, w in enumerate(long)], True)
+
+
 def test_more_near_vectors_than_ten(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal(32)
