@@ -1,17 +1,23 @@
 """Template residue, filler and error pages in place of content.
 
-Fields are aligned as templates: in a field the units are its lines and sentences, with numbers and request ids as
-slots. A slot that keeps the marked-up name of a variable is unfilled, in however many records, unless the text talks
-about it: it stands in quotes, or the words around it name a notation and records of other stories say the same.
-Whole-page templates grow from known units: a unit that stands in short fields only beside known ones belongs to the
-same page, and so does a constant content that recurs, without a filled slot, over unrelated records. In longer fields a
-unit must do so over unrelated records, and nearly all units of the field must be known or learned.
+Records are aligned by template and slots are induced; no list of page texts is used.
+
+* A field is cut into units (lines and sentences). A unit's template is what is left when numbers, names, variable
+  names and blanks are taken for slots; units of other records with the same template show how the slots are filled.
+  A slot that keeps a marked-up variable, or one that keeps a bare variable name, an empty value of a programming
+  language or nothing where other records fill it, is unfilled.
+* The notations of public template languages are known; others are induced: signs that wrap, mostly, the names that
+  the known notations wrap, are a notation too. A marker in quotes, or one that keeps its surroundings over records
+  of other stories beside a word for such things, is what a text talks about.
+* A whole field that recurs, numbers and ids aside, as the content of unrelated records is a page template or a
+  default, and so are its units wherever they make up a field. Units that stand only beside those belong to the page.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from http import HTTPStatus
 
 import pandas as pd
 import xxhash
@@ -21,22 +27,8 @@ from pyspark.sql import functions as F
 from dispatchlake.functions.tables import cut, table
 from dispatchlake.llm.lookalike import skeleton
 
-# Beginnings of known units of error pages and notices, and whole default values, in small letters with 9 for digits.
-PAGE_STARTS = """
-999 not found|999 forbidden|999 unauthorized|999 bad gateway|999 bad request|999 service|999 gateway|999 internal server|999 gone|999 too many|999 页面|999 - |999 error
-error 999|http error 999|http 999|status 999|fehler 999|erreur 999|грешка 999|错误 999|error code 999|error establishing
-internal server error|bad gateway|service unavailable|service temporarily unavailable|gateway timeout|page not found|access denied|access to this page|forbidden
-please enable javascript|javascript is disabled|javascript is required|you need to enable javascript|enable javascript|please turn on javascript|this site requires javascript|this page requires javascript|please enable cookies
-bitte aktivieren sie javascript|veuillez activer javascript|active javascript|habilite javascript|моля, включете javascript|请启用 javascript|javascript muss
-you need to verify that you are|please verify you are|verify you are human|are you a robot|checking your browser|please complete the captcha|complete the security check|prove you are human
-an unexpected error occurred|an error occurred|something went wrong|this content cannot be displayed|sorry, this article is no longer|sorry, this page|the page you requested|the requested url|the request was not completed|database connection failed|your session has expired|too many requests|this content is no longer available
-zugriff verweigert|der dienst ist|seite nicht gefunden|accès refusé|service momentanément indisponible|page introuvable|acceso denegado|servicio no disponible|página no encontrada|достъпът е отказан|услугата|访问被拒绝|系统繁忙|服务暂时不可用|页面不存在
-""".strip().replace("\n", "|").split("|")
-DEFAULTS = """
-undefined|null|nan|none|n/a|[object object]|undefined – undefined|undefined undefined|(no content)|(no title)|no title|no content|no text|untitled|untitled document|untitled post|ohne titel|sans titre|sin título|без заглавие|无标题|此处填写正文|此处填写标题
-test|test post|test post please ignore|test test|test test test|testing|test article|test title|hello world|hello world!|asdf|asdf asdf|asdf asdf asdf|qwerty|foo bar|lorem|lorem ipsum|beispieltext|platzhalter|texte à venir|titre à venir|texto de ejemplo|texto de prueba|примерен текст|测试|测试文章|示例文本|标题
-todo|todo: article text|fixme|tbd|tba|placeholder|content placeholder|placeholder text|title goes here|text goes here|your text here|your title here|insert text here|insert title here|content goes here|article body|article text|sample title|sample text|sample post|dummy text|new post|new article|loading…|loading...|loading|coming soon|-|--|...|…
-""".strip().replace("\n", "|").split("|")
+# How programming languages write an empty value.
+LITERALS = ("undefined", "null", "nan", "none", "nil", "n/a", "(null)", "[object object]")
 # Words of the customary Latin filler.
 LATIN_FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
@@ -47,31 +39,43 @@ LATIN_FILLER = frozenset(
 _LONG_FILLER = frozenset(w for w in LATIN_FILLER if len(w) > 3)
 _ID = re.compile(r"(?=[0-9a-f-]*\d)[0-9a-f][0-9a-f-]{6,}(?![\w])", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
-#: A sentence that goes on with a verb speaks about the message.
-_START = re.compile(r"(?:oops!?\s*)?(?:%s)(?!\s+(?:was|were|is|are|has|had|became|remains?|messages?|pages?)\b)" % "|".join(re.escape(s) for s in PAGE_STARTS))
-_DEFAULT = frozenset(DEFAULTS)
-_REPEATED_SIGN = re.compile(r"([^\W\d_])\1{3,}\Z|(\W)\2*\Z")
+_REPEATED = re.compile(r"([^\W\d_])\1{3,}\Z|(\W)\2*\Z|(\w{3,})(?:\W+\3)+\Z")
 #: A masked request id with a word or two before it.
-_REFERENCE = re.compile(r"\W*(?:[a-z]+\W+){0,2}§\W*\Z")
+_REFERENCE = re.compile(r"\W*(?:[^\W\d_]+\W+){0,2}§\W*\Z")
+_PHRASES = {f"{s.value}": s.phrase.casefold() for s in HTTPStatus if s.value >= 400}
+_STATUS = re.compile(r"\b[45]\d\d\b")
 _NAME = r"\s*[A-Za-z][\w.]*(?:\s*\|\s*\w+)?\s*"
+#: Notations of public template languages, and prompts to put something in.
 MARKER = re.compile(
     rf"\{{\{{[#/]?{_NAME}\}}\}}|\$\{{{_NAME}\}}|#\{{{_NAME}\}}|<%=?{_NAME}%>|\{{%-?\s*[A-Za-z][^%\n]{{0,60}}%\}}|%%{_NAME}%%|\[\[{_NAME}\]\]"
-    r"|(?<![A-Za-z0-9_])__[A-Z][A-Z0-9_]*?__(?![a-z_])|__[A-Z][A-Z0-9_]*?__|\[(?:INSERT|ENTER|ADD|YOUR)\s[^\]\n]{1,40}\]|<[a-z][a-z_ ]{1,30} goes here>|<!--[^>\n]{0,60}-->",
+    r"|(?<![A-Za-z0-9_])__[A-Z][A-Z0-9_]*?__(?![a-z_])|__[A-Z][A-Z0-9_]*?__|\[(?:INSERT|ENTER|ADD|YOUR)\s[^\]\n]{1,40}\]|<[A-Za-z][\w. ]{1,40} here>|<!--[^>\n]{0,60}-->",
 )
-_OPENINGS = ("{", "<", "[", "__", "%%")
+_SIGN = r"[@#$%^&~|<>{}\[\]\\/=!?+*:-]"
+#: Any name between signs; which signs are a notation is induced.
+_WRAPPED = re.compile(rf"(?<![\w@#$%^&~|<>{{}}\[\]\\=*])({_SIGN}{{2,4}}|[<{{\[$%@])\s?([A-Za-z][\w.]{{1,40}})\s?({_SIGN}{{1,4}})")
+_OPENINGS = ("{", "<", "[", "__", "%%", "@", "$", "#", "~", "^", "|", "*", "&", "\\", "=")
 _QUOTES = "`\"'“”„‘’«»‚「」『』"
 _UNITS = re.compile(r"(?<=[.!?…])\s+|(?<=。)|(?<=！)|(?<=？)|\n")
 _WORDS = re.compile(r"\w+")
+_VARIABLE = r"(?<![\w.])[a-z]+(?:_[a-z]+)+(?![\w.])"
+_GAP = "\ue000"
+_WIDE = re.compile(r"(?<=[^\W\d_]) {2,}(?=\w)")
+#: What may hold a slot without filling it, and a gap that a slot has left.
+_EMPTY = re.compile(rf"(?<![\w/])(?:undefined|null|nan|NaN|None|nil|N/A|\(null\)|\[object Object\])(?![\w/])|{_VARIABLE}|\(\s*\)|{_GAP}|\s+(?=[,;]\s)")
 #: Units of a short field at most, and its characters: beyond that more evidence is asked for.
 SHORT_UNITS, SHORT_CHARS = 8, 500
+#: Words of a unit, at most, that may be two page texts in one.
+CUT_WORDS = 24
 #: Share of the units of a longer field that must be known or learned.
 SHARE = 0.9
 #: Words that tell that a text speaks about a marker.
 _NOTATION = re.compile("variable|placeholder|template|syntax|notation|markup|platzhalter|vorlage|gabarit|plantilla|变量|占位符|模板|променлив|шаблон")
 #: Records of other stories in which a marker with such words must keep its surroundings to be part of the text.
 MENTIONS = 4
-#: A constant content must recur over so many records whose titles begin differently, mostly.
-UNRELATED = 6
+#: Unrelated records over which a short and a longer content must recur; a short one may stand in their titles as well.
+RECURS, UNRELATED = 3, 6
+#: Records with other values that must show a slot filled.
+FILLED = 3
 
 
 def _hash(text: str) -> int:
@@ -79,84 +83,178 @@ def _hash(text: str) -> int:
 
 
 def masked(unit: str) -> str:
+    """Small letters with 9 or 999 for numbers and § for ids."""
     return _DIGITS.sub(lambda m: "999" if len(m[0]) == 3 and m[0][0] in "12345" else "9", _ID.sub("§", unit)).casefold().strip()
 
 
+def _strict(text: str) -> str:
+    """As it is but for ids and HTTP's statuses, so that texts that differ in a fact differ."""
+    return _STATUS.sub("999", _ID.sub("§", text)).casefold()
+
+
 def _latin(unit: str) -> bool:
     w = _WORDS.findall(unit.casefold())
-    return len(w) >= 2 and sum(x in LATIN_FILLER for x in w) >= max(2, 0.8 * len(w)) and any(len(x) > 3 for x in w)
+    return sum(x in LATIN_FILLER for x in w) >= max(min(2, len(w)), 0.8 * len(w)) and any(len(x) > 3 for x in w)
+
+
+def _status(raw: str) -> bool:
+    """Whether a unit is a phrase of HTTP's statuses, alone or with its own number and two other words at most."""
+    low = raw.casefold()
+    if not (m := _STATUS.search(raw)):
+        return " " in low and low.strip(" .!") in _PHRASES.values()
+    phrase = _PHRASES.get(m[0], "")
+    return bool(phrase) and phrase in low and len(_WORDS.findall(low.replace(phrase, "").replace(m[0], ""))) <= 2
+
+
+def known(raw: str, unit: str) -> bool:
+    """Whether a unit by itself is nothing but an empty value, one thing repeated, a request id or a status."""
+    return unit.strip(" .!¡*#") in LITERALS or unit in LITERALS or len(unit) > 3 and bool(_REPEATED.match(unit)) or "§" in unit and bool(_REFERENCE.match(unit)) or _status(raw)
 
 
-def known(unit: str) -> bool:
-    """Whether a unit, masked, is one of the known pages' or a default value; what stands in quotes is talked about."""
-    bare = unit.strip(" .!¡*#")
-    if bare in _DEFAULT or unit.strip() in _DEFAULT or (len(unit) > 3 and _REPEATED_SIGN.match(unit)) or _REFERENCE.match(unit):
-        return True
-    return len(unit) <= 120 and bool(_START.match(unit))
+def _subject(title: str | None) -> int:
+    """What a title is about, roughly: its first three words as they look."""
+    return _hash(" ".join(skeleton(title or "").casefold().split()[:3]))
+
+
+def pattern(unit: str, empty: bool) -> int:
+    """Hash of a unit's template: its small words, without names, numbers, variables and gaps; 0 if too little is left."""
+    if empty:
+        unit = _EMPTY.sub(" ", MARKER.sub(" ", unit))
+    words = unit.split()
+    kept = [w for w in words if w[0].islower()]
+    if len(kept) == len(words) or not words:
+        return 0
+    if words[0] is not (kept[0] if kept else None) and len(words[0]) <= 4 and words[0].isalpha():
+        kept.insert(0, words[0].lower())
+    return _hash(" ".join(kept)) if len(kept) > 1 else 0
+
+
+def _cuts(raw: str, unit: str) -> list[dict]:
+    """The ways to cut a unit of few words in two, the request id at its end put aside: page texts that follow each other without a stop."""
+    words, said = unit.split(), raw.split()
+    if not 1 < len(words) == len(said) <= CUT_WORDS:
+        return []
+    out = []
+    for end in [len(words), len(words) - 2, len(words) - 3] if "§" in words[-1] else [len(words)]:
+        for i in range(1, end + (end < len(words))):
+            a, b = " ".join(words[:i]), " ".join(words[i:end])
+            out.append({"unit": _hash(unit), "a": _hash(a), "a_known": known(" ".join(said[:i]), a), "b": _hash(b), "b_known": not b or known(" ".join(said[i:end]), b)})
+    return out
 
 
 def _fields(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per field what can be said of it alone, its units' hashes, and its markers' surroundings."""
-    names = ["item_seq", "field", "sure", "units", "known", "raw", "other", "marks", "filled", "short"]
+    """Per field what can be said of it alone, its units with their templates, and its markers."""
+    names = ["item_seq", "field", "sure", "units", "known", "patterns", "empty", "whole", "other", "marks", "wraps", "short", "cuts"]
     for f in frames:
         out = []
         for seq, *texts in zip(f["item_seq"], f["title"], f["content"]):
-            first = [_hash(" ".join(skeleton((t or "")[:400]).casefold().split()[:3])) for t in texts]
-            for field, t, other in zip(("title", "content"), texts, first[::-1]):
-                if not t or not (shown := "\n".join(skeleton(x) for x in t.split("\n"))).strip():
+            others = (_hash(texts[1] or ""), _subject(texts[0]))
+            for field, t, other in zip(("title", "content"), texts, others):
+                if not t or not (shown := "\n".join(skeleton(x) for x in (_WIDE.sub(f" {_GAP} ", t) if "  " in t else t).split("\n"))).strip():
                     continue
-                marks = []
-                for m in MARKER.finditer(shown) if any(x in shown for x in _OPENINGS) else ():
-                    quoted = shown[: m.start()].rstrip(" ")[-1:] in _QUOTES and shown[m.end() :].lstrip(" ")[:1] in _QUOTES and m.start() > 0
-                    before, after = (_WORDS.findall(MARKER.sub(" ", x)) for x in (shown[max(0, m.start() - 60) : m.start()], shown[m.end() : m.end() + 60]))
-                    if not quoted:
-                        marks.append(_hash(f"{before[-2:], after[:1]}{m[0]}") if _NOTATION.search(" ".join(before[-4:] + after[:2]).casefold()) else 0)
+                marks, wraps = [], []
+                if any(x in shown for x in _OPENINGS):
+                    spans = []
+                    for m in MARKER.finditer(shown):
+                        spans.append(m.span())
+                        quoted = shown[: m.start()].rstrip(" ")[-1:] in _QUOTES and shown[m.end() :].lstrip(" ")[:1] in _QUOTES and m.start() > 0
+                        wraps.append(("", "_".join(_WORDS.findall(m[0])).strip("_").casefold(), True))
+                        if not quoted:
+                            before, after = (_WORDS.findall(MARKER.sub(" ", x)) for x in (shown[max(0, m.start() - 60) : m.start()], shown[m.end() : m.end() + 60]))
+                            marks.append(_hash(f"{before[-2:], after[:1]}{m[0]}") if _NOTATION.search(" ".join(before[-4:] + after[:2]).casefold()) else 0)
+                    for m in _WRAPPED.finditer(shown):
+                        if not any(a < m.end() and m.start() < z for a, z in spans):
+                            quoted = shown[: m.start()][-1:] in _QUOTES and shown[m.end() :][:1] in _QUOTES and m.start() > 0
+                            wraps.append((f"{m[1]} {m[3]}", m[2].replace(".", "_").casefold(), quoted))
                 filler = not _LONG_FILLER.isdisjoint(shown.casefold().replace(".", " ").split())
-                units = [u for u in map(masked, _UNITS.split(_ID.sub("\\g<0>\n", shown))) if u]
-                short = len(shown) <= SHORT_CHARS and len(units) <= SHORT_UNITS
+                text = _ID.sub("\\g<0>\n", shown)
+                raws, units = _UNITS.split(text), _UNITS.split(masked(text))
+                if len(raws) != len(units):
+                    units = list(map(masked, raws))
+                pairs = [(r, u) for r, u in zip(raws, map(str.strip, units)) if u]
+                hollow = bool(_EMPTY.search(shown)) or bool(marks)
+                empty = [hollow and bool(_EMPTY.search(r)) for r, _ in pairs]
+                short = len(shown) <= SHORT_CHARS and len(pairs) <= SHORT_UNITS
                 out.append((
-                    seq, field, filler and any(map(_latin, units)), [_hash(u) for u in units], [known(u) for u in units],
-                    _hash(shown), other, marks, short and bool(_DIGITS.search(shown)), short,
+                    seq, field, filler and any(_latin(u) for _, u in pairs), [_hash(u) for _, u in pairs], [len(u) <= 80 and known(r, u) for r, u in pairs],
+                    [pattern(r, hollow) for r, _ in pairs], empty, _hash(_strict(shown)), other, marks,
+                    [{"kind": k, "name": n, "quoted": q} for k, n, q in wraps], short,
+                    [x for r, u in pairs if short and (field == "content" or "§" in u) for x in _cuts(r, u)],
                 ))
         yield pd.DataFrame(out, columns=names)
 
 
+_ROWS = (
+    "item_seq long, field string, sure boolean, units array<long>, known array<boolean>, patterns array<long>, empty array<boolean>, whole long, other long, "
+    "marks array<long>, wraps array<struct<kind:string,name:string,quoted:boolean>>, short boolean, "
+    "cuts array<struct<unit:long,a:long,a_known:boolean,b:long,b_known:boolean>>"
+)
+
+
+def _unfilled(rows: DataFrame) -> DataFrame:
+    """(item_seq, field) with a slot that other records of the same template fill and this one doesn't."""
+    each = rows.select("item_seq", "field", "other", F.inline(F.arrays_zip(F.col("patterns").alias("pattern"), F.col("empty").alias("is_empty"), F.col("units").alias("unit")))).where("pattern <> 0")
+    asks = each.where("is_empty").select("item_seq", "field", "pattern").distinct()
+    held = each.where("not is_empty").join(asks.select("pattern").distinct(), "pattern", "left_semi")
+    fills = held.groupBy("pattern").agg(F.approx_count_distinct("unit").alias("values"), F.approx_count_distinct("other").alias("others")).where(F.least("values", "others") >= FILLED)
+    return asks.join(fills, "pattern", "left_semi").select("item_seq", "field")
+
+
+def _markers(rows: DataFrame) -> DataFrame:
+    """(item_seq, field) with a marked-up variable that the text doesn't talk about."""
+    key = ["item_seq", "field"]
+    marks = rows.where("size(marks) > 0").select(*key, "other", F.explode("marks").alias("mark"))
+    said = marks.where("mark <> 0").select("mark", "other").distinct().groupBy("mark").count().where(F.col("count") >= MENTIONS).select("mark")
+    wraps = cut(rows.where("size(wraps) > 0").select(*key, F.inline("wraps")))
+    names = wraps.where("kind = ''").select("name").distinct().withColumn("is_name", F.lit(True))
+    others = wraps.where("kind <> ''").join(names, "name", "left")
+    induced = others.groupBy("kind").agg(F.avg(F.col("is_name").isNotNull().cast("int")).alias("share"), F.countDistinct(F.when(F.col("is_name"), F.col("name"))).alias("n"))
+    more = others.where("not quoted").join(induced.where("share >= 0.5 and n >= 2").select("kind"), "kind", "left_semi").select(*key)
+    return marks.join(said, "mark", "left_anti").select(*key).unionByName(more)
+
+
 def residue(items: DataFrame) -> DataFrame:
     """(item_seq, field) of every title or content that is or holds template residue, filler or an error page.
 
     Null, empty and blank fields are no case; rows repeated under one item_seq count once. Other columns are ignored.
+    What recurs is learned from the records given: a page text that stands in one record only, and is no status of
+    HTTP, empty value or filler, can't be told from a short real text and is no case.
     """
-    schema = "item_seq long, field string, sure boolean, units array<long>, known array<boolean>, raw long, other long, marks array<long>, filled boolean, short boolean"
-    rows = cut(items.select("item_seq", "title", "content").mapInPandas(_fields, schema).where("sure or size(units) > 0 or size(marks) > 0").distinct())
+    rows = cut(items.select("item_seq", "title", "content").mapInPandas(_fields, _ROWS).where("sure or size(units) > 0").distinct())
     key = ["item_seq", "field"]
+    fields = rows.where("size(units) > 0")
+    # Whole contents that recur over unrelated records; pre-aggregated by what stands beside them.
+    whole = fields.groupBy("whole", "short", "field", "other").agg(F.count("*").alias("n"), F.min("units").alias("units"))
+    content = F.col("field") == "content"
+    recurs = whole.groupBy("whole", "short").agg(
+        F.sum(F.when(content, F.col("n"))).alias("n"), F.count_if(content).alias("others"), F.count_if(~content).alias("titled"),
+        F.min("units").alias("units"),
+    )
+    enough = (F.col("others") >= F.when(F.col("short"), RECURS).otherwise(UNRELATED)) | F.col("short") & (F.col("others") > 0) & (F.col("others") + F.col("titled") >= RECURS)
+    constant = cut(recurs.where(enough & (F.col("others") >= 0.5 * F.col("n"))).select("whole", "units"))
+    seeds = constant.select(F.explode("units").alias("unit")).distinct()
 
-    marks = rows.where("size(marks) > 0").select(*key, "other", F.explode("marks").alias("mark"))
-    said = marks.where("mark <> 0").select("mark", "other").distinct().groupBy("mark").count().where(F.col("count") >= MENTIONS).select("mark")
-    slots = marks.join(said, "mark", "left_anti").select(*key)
+    cuts = rows.where("size(cuts) > 0").select(F.inline("cuts")).distinct()
+    is_seed = lambda c: seeds.select(F.col("unit").alias(c), F.lit(True).alias(f"{c}_seed"))
+    composed = cuts.join(is_seed("a"), "a", "left").join(is_seed("b"), "b", "left").where("(a_known or a_seed) and (b_known or b_seed)").select("unit")
+    seeds = seeds.unionByName(composed).distinct()
 
-    fields = rows.where("size(units) > 0").withColumn("some", F.exists("known", lambda k: k))
-    unit = fields.select(*key, "some", "other", "short", F.inline(F.arrays_zip(F.col("units").alias("unit"), F.col("known").alias("is_known"))))
-    count = lambda c: F.sum(F.expr(c).cast("int"))
-    beside = unit.where("not is_known").groupBy("unit", "other").agg(F.count("*").alias("n"), count("some").alias("with"), count("short").alias("n_short"), count("short and some").alias("with_short"))
-    beside = beside.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("n", "with", "n_short", "with_short")), F.count("*").alias("others"))
+    unit = fields.select(*key, "other", "short", F.inline(F.arrays_zip(F.col("units").alias("unit"), F.col("known").alias("rule"))))
+    # Only fields that hold a known unit can hold its neighbours.
+    sure = unit.join(seeds.withColumn("seed", F.lit(True)), "unit", "left").withColumn("is_known", F.col("rule") | F.col("seed").isNotNull())
+    some = cut(sure.groupBy(*key, "other", "short").agg(F.max("is_known").alias("some"), F.collect_list(F.struct("unit", "is_known")).alias("us")).where("some"))
+    beside = some.select("other", "short", F.inline("us")).where("not is_known").groupBy("unit", "other").agg(F.count("*").alias("with"), F.count_if("short").alias("with_short"))
+    beside = beside.groupBy("unit").agg(F.sum("with").alias("with"), F.sum("with_short").alias("with_short"), F.count("*").alias("others"))
+    n = unit.join(beside.select("unit"), "unit", "left_semi").groupBy("unit").agg(F.count("*").alias("n"), F.count_if("short").alias("n_short"))
     wide = F.expr(f"others >= {UNRELATED} and `with` >= 0.9 * n")
-    grown = beside.where(F.expr("n_short >= 2 and with_short >= 0.9 * n_short") | wide).select("unit", wide.alias("wide"))
-    whole = F.when(F.col("short"), F.col("units")[0]).otherwise(F.xxhash64("units"))
-    alone = fields.where("field = 'content' and (size(units) = 1 or not short)").select(*key, whole.alias("whole"), "raw", "other", "filled")
-    constant = (
-        alone.groupBy("whole", "raw", "other").agg(F.count("*").alias("c"), F.max("filled").alias("filled"))
-        .groupBy("whole").agg(F.countDistinct("raw").alias("raws"), F.count("*").alias("others"), F.sum("c").alias("n"), F.max("filled").alias("filled"))
-        .where(F.expr(f"raws <= 2 and not filled and others >= {UNRELATED} and others >= 0.5 * n")).select("whole")
-    )
-    constant = cut(constant)
-    learned = cut(grown.union(constant.select("whole", F.lit(True))).groupBy("unit").agg(F.max("wide").alias("wide")))
+    grown = beside.join(n, "unit").where(F.expr("n_short >= 2 and with_short >= 0.9 * n_short") | wide).select("unit", wide.alias("wide"))
     told = F.col("is_known") | F.when(F.col("short"), F.col("wide").isNotNull()).otherwise(F.coalesce("wide", F.lit(False)))
     pages = (
-        unit.join(learned, "unit", "left").groupBy(*key, "short", "some").agg(F.avg(told.cast("int")).alias("share"))
-        .where(F.expr(f"share = 1 or not short and some and share >= {SHARE}")).select(*key)
+        some.select(*key, "short", F.inline("us")).join(grown, "unit", "left").groupBy(*key, "short").agg(F.avg(told.cast("int")).alias("share"))
+        .where(F.expr(f"share = 1 or not short and share >= {SHARE}")).select(*key)
     )
-    pages = pages.union(alone.join(constant, "whole", "left_semi").select(*key))
-    return rows.where("sure").select(*key).union(slots).union(pages).distinct()
+    alone = fields.where("field = 'content'").join(constant, "whole", "left_semi").select(*key)
+    return rows.where("sure").select(*key).union(_markers(rows)).union(_unfilled(rows)).union(pages).union(alone).distinct()
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

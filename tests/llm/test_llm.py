@@ -203,15 +203,18 @@ def test_residue(spark):
         (6, "Access denied was the most common message in Orun", "The template language writes a variable as `{{ name }}`, and Ada noted it."), (7, "Morning brief No. 3", "x"), (8, "Boats", "Please enable JavaScript to view this page.\nRay 1f2e3d4c5b6a"),
         (9, "__TITLE__", "They sail on."), (10, "Boats", "Designers stopped using lorem ipsum after a review of many drafts."), (1, "404 Not Found", "A proper text about boats in the harbour of Orun."), (11, "Boats", "null"), (12, "Boats", "word " * 30_000),
     ]
+    # A page text that stands once is no case: what recurs over unrelated records is learned.
+    items += [(20 + i, t, "Please enable JavaScript to view this page.") for i, t in enumerate(("Trains leave late", "Rain in Orun", "No news today"))]
     df = spark.createDataFrame([(*x, "clash") for x in items], "item_seq long, title string, content string, field string")
-    assert rows(residue.residue(df)) == sorted([(1, "title"), (2, "content"), (3, "content"), (8, "content"), (9, "title"), (11, "content")])
+    assert rows(residue.residue(df)) == sorted([(1, "title"), (2, "content"), (3, "content"), (8, "content"), (9, "title"), (11, "content"), (20, "content"), (21, "content"), (22, "content")])
+    assert residue.residue(df.where("item_seq < 20")).where("item_seq = 8").count() == 0
     assert residue.residue(df.limit(0)).count() == 0
 
 
 def test_pages_grow_from_known_units(spark):
-    items = [(i, f"Story {i} of the {w}", "Internal Server Error. Kindly come back tomorrow.") for i, w in enumerate("alpha beta gamma delta".split())]
+    items = [(i, f"Story {i} of the {w}", "Internal Server Error. Kindly come back tomorrow.") for i, w in enumerate("alpha beta".split())]
     found = lambda x: rows(residue.residue(spark.createDataFrame(x, "item_seq long, title string, content string")))
-    assert found(items) == [(i, "content") for i in range(4)]
+    assert found(items) == [(i, "content") for i in range(2)]
     assert found(items + [(9, "Other", "Kindly come back tomorrow.")]) == []
 
 
@@ -232,6 +235,21 @@ def test_one_template_in_thousands_of_records(spark):
     assert found == [(i, "content") for i in range(3000)] + [(i, "title") for i in range(3000, 3100)]
 
 
+def test_templates_of_unknown_words(spark):
+    """Slots and page texts in invented words, which no list can hold."""
+    find = lambda x: rows(residue.residue(spark.createDataFrame(x, "item_seq long, title string, content string")))
+    filled = [(i, f"Story{i} of the day", f"By {n} in {c} for the evening edition\nBoats of pier{i} sail on.") for i, (n, c) in enumerate(zip("Ada Bo Cyd Dee Eve Flo".split(), "Sports Markets Science Culture Travel Food".split()))]
+    hollow = [(10, "Trains run late", "By undefined in null for the evening edition\nTrains wait."), (11, "Cars wait", "By author_name in Sports for the evening edition\nCars wait."), (12, "Ships sink", "By  Ada in  for the evening edition\nShips sink.")]
+    spoken = [(13, "Values", "Each lookup gave null in the end and the test went on.\nIt was late."), (14, "Names", "Ada calls it user_name in her book about Orun.\nIt sold well.")]
+    assert find(filled + hollow + spoken) == [(i, "content") for i in (10, 11, 12)]
+    # A notation that wraps what known notations wrap is induced; in quotes it is talked about.
+    signs = [(i, f"Boats{i} at pier", f"Told by {a}{w}{b} at the pier of town{i}.") for i, (a, w, b) in enumerate([("{{", "pilot", "}}"), ("${", "vessel", "}"), ("@@", "pilot", "@@"), ("@@", "vessel", "@@"), ("~", "Orun", "~"), ("~", "Ada", "~"), ("\"@@", "pilot", "@@\"")])]
+    assert find(signs) == [(i, "content") for i in range(4)]
+    page = [(i, f"{w} story told", "Brel nok tavi, surru 503 melk.") for i, w in enumerate("alpha beta gamma delta".split())] + [(9, "Brel nok tavi, surru 504 melk.", "Boats sail on to Orun."), (10, "epsilon story", "Brel nok tavi, surru 500 melk.\nTrako 1f2e3d4c5b6a"), (11, "zeta story", "Brel nok tavi, surru 500 melk. Brel nok tavi, surru 500 melk. Trako: 1f2e3d4c5b6a")]
+    series = [(20 + i, f"Dawn letter No. {i}", f"Boats of pier{i} sail on.") for i in range(12)]
+    assert find(page + series) == [*((i, "content") for i in range(4)), (9, "title"), (10, "content"), (11, "content")]
+
+
 # p4
 
 
