@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 from http import HTTPStatus
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ LATIN_FILLER = frozenset(
     "voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt "
     "mollit anim id est laborum".split()
 )
-_LONG_FILLER = frozenset(w for w in LATIN_FILLER if len(w) > 3)
+_TELLING = sorted(w for w in LATIN_FILLER if len(w) > 3)
 _ID = re.compile(r"(?=[0-9a-f-]*\d)[0-9a-f][0-9a-f-]{6,}(?![\w])", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
 _REPEATED = re.compile(r"([^\W\d_])\1{3,}\Z|(\W)\2*\Z|(\w{3,})(?:\W+\3)+\Z")
@@ -129,72 +129,80 @@ def pattern(unit: str, empty: bool) -> int:
     return _hash(" ".join(kept)) if len(kept) > 1 else 0
 
 
-def _cuts(raw: str, unit: str) -> list[dict]:
+def _cuts(raw: str, unit: str) -> Iterator[tuple[int, int, bool, int, bool]]:
     """The ways to cut a unit of few words in two, the request id at its end put aside: page texts that follow each other without a stop."""
     words, said = unit.split(), raw.split()
     if not 1 < len(words) == len(said) <= CUT_WORDS:
-        return []
-    out = []
+        return
+    whole, coded = _hash(unit), bool(_STATUS.search(raw))
     for end in [len(words), len(words) - 2, len(words) - 3] if "§" in words[-1] else [len(words)]:
         for i in range(1, end + (end < len(words))):
             a, b = " ".join(words[:i]), " ".join(words[i:end])
-            out.append({"unit": _hash(unit), "a": _hash(a), "a_known": known(" ".join(said[:i]), a), "b": _hash(b), "b_known": not b or known(" ".join(said[i:end]), b)})
-    return out
+            alone = (lambda r, u, n: n == 1 and u in LITERALS or coded and _status(" ".join(r)))
+            yield whole, _hash(a), alone(said[:i], a, i), _hash(b), not b or alone(said[i:end], b, end - i)
 
 
-def _fields(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_ROWS = {
+    "item_seq": pa.int64(), "field": pa.string(), "sure": pa.bool_(), "units": pa.list_(pa.int64()), "known": pa.list_(pa.bool_()), "patterns": pa.list_(pa.int64()), "empty": pa.list_(pa.bool_()),
+    "whole": pa.int64(), "other": pa.int64(), "marks": pa.list_(pa.int64()), "kinds": pa.list_(pa.string()), "names": pa.list_(pa.string()), "quoted": pa.list_(pa.bool_()), "short": pa.bool_(),
+    "cut_unit": pa.list_(pa.int64()), "cut_a": pa.list_(pa.int64()), "cut_a_known": pa.list_(pa.bool_()), "cut_b": pa.list_(pa.int64()), "cut_b_known": pa.list_(pa.bool_()),
+}
+_SCHEMA = ", ".join(f"{n} {t}".replace("list<item: ", "array<").replace("int64", "long").replace("bool", "boolean") for n, t in _ROWS.items())
+
+
+def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per field what can be said of it alone, its units with their templates, and its markers."""
-    names = ["item_seq", "field", "sure", "units", "known", "patterns", "empty", "whole", "other", "marks", "wraps", "short", "cuts"]
-    for f in frames:
-        out = []
-        for seq, *texts in zip(f["item_seq"], f["title"], f["content"]):
-            others = (_hash(texts[1] or ""), _subject(texts[0]))
-            for field, t, other in zip(("title", "content"), texts, others):
-                if not t or not (shown := "\n".join(skeleton(x) for x in (_WIDE.sub(f" {_GAP} ", t) if "  " in t else t).split("\n"))).strip():
-                    continue
-                marks, wraps = [], []
-                if any(x in shown for x in _OPENINGS):
-                    spans = []
-                    for m in MARKER.finditer(shown):
-                        spans.append(m.span())
-                        quoted = shown[: m.start()].rstrip(" ")[-1:] in _QUOTES and shown[m.end() :].lstrip(" ")[:1] in _QUOTES and m.start() > 0
-                        wraps.append(("", "_".join(_WORDS.findall(m[0])).strip("_").casefold(), True))
-                        if not quoted:
-                            before, after = (_WORDS.findall(MARKER.sub(" ", x)) for x in (shown[max(0, m.start() - 60) : m.start()], shown[m.end() : m.end() + 60]))
-                            marks.append(_hash(f"{before[-2:], after[:1]}{m[0]}") if _NOTATION.search(" ".join(before[-4:] + after[:2]).casefold()) else 0)
-                    for m in _WRAPPED.finditer(shown):
-                        if not any(a < m.end() and m.start() < z for a, z in spans):
-                            quoted = shown[: m.start()][-1:] in _QUOTES and shown[m.end() :][:1] in _QUOTES and m.start() > 0
-                            wraps.append((f"{m[1]} {m[3]}", m[2].replace(".", "_").casefold(), quoted))
-                filler = not _LONG_FILLER.isdisjoint(shown.casefold().replace(".", " ").split())
-                text = _ID.sub("\\g<0>\n", shown)
-                raws, units = _UNITS.split(text), _UNITS.split(masked(text))
-                if len(raws) != len(units):
-                    units = list(map(masked, raws))
-                pairs = [(r, u) for r, u in zip(raws, map(str.strip, units)) if u]
-                hollow = bool(_EMPTY.search(shown)) or bool(marks)
-                empty = [hollow and bool(_EMPTY.search(r)) for r, _ in pairs]
-                short = len(shown) <= SHORT_CHARS and len(pairs) <= SHORT_UNITS
-                out.append((
-                    seq, field, filler and any(_latin(u) for _, u in pairs), [_hash(u) for _, u in pairs], [len(u) <= 80 and known(r, u) for r, u in pairs],
-                    [pattern(r, hollow) for r, _ in pairs], empty, _hash(_strict(shown)), other, marks,
-                    [{"kind": k, "name": n, "quoted": q} for k, n, q in wraps], short,
-                    [x for r, u in pairs if short and (field == "content" or "§" in u) for x in _cuts(r, u)],
-                ))
-        yield pd.DataFrame(out, columns=names)
-
-
-_ROWS = (
-    "item_seq long, field string, sure boolean, units array<long>, known array<boolean>, patterns array<long>, empty array<boolean>, whole long, other long, "
-    "marks array<long>, wraps array<struct<kind:string,name:string,quoted:boolean>>, short boolean, "
-    "cuts array<struct<unit:long,a:long,a_known:boolean,b:long,b_known:boolean>>"
-)
+    for batch in batches:
+        for at in range(0, len(batch), 1000):
+            part = batch.slice(at, 1000)
+            out: dict[str, list] = {n: [] for n in _ROWS}
+            for seq, *texts in zip(*(part.column(i).to_pylist() for i in range(3))):
+                others = (_hash(texts[1] or ""), _subject(texts[0]))
+                for field, t, other in zip(("title", "content"), texts, others):
+                    if t and (row := _field(field, t)):
+                        for n, v in zip(_ROWS, (seq, field, *row[:5], row[5], other, *row[6:])):
+                            out[n].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in _ROWS.items()], names=list(_ROWS))
+
+
+def _field(field: str, t: str) -> tuple | None:
+    shown = "\n".join(skeleton(x) for x in (_WIDE.sub(f" {_GAP} ", t) if "  " in t else t).split("\n"))
+    if not shown.strip():
+        return None
+    marks, wraps = [], []
+    if any(x in shown for x in _OPENINGS):
+        spans = []
+        for m in MARKER.finditer(shown):
+            spans.append(m.span())
+            quoted = shown[: m.start()].rstrip(" ")[-1:] in _QUOTES and shown[m.end() :].lstrip(" ")[:1] in _QUOTES and m.start() > 0
+            wraps.append(("", "_".join(_WORDS.findall(m[0])).strip("_").casefold(), True))
+            if not quoted:
+                before, after = (_WORDS.findall(MARKER.sub(" ", x)) for x in (shown[max(0, m.start() - 60) : m.start()], shown[m.end() : m.end() + 60]))
+                marks.append(_hash(f"{before[-2:], after[:1]}{m[0]}") if _NOTATION.search(" ".join(before[-4:] + after[:2]).casefold()) else 0)
+        for m in _WRAPPED.finditer(shown):
+            if not any(a < m.end() and m.start() < z for a, z in spans):
+                quoted = shown[: m.start()][-1:] in _QUOTES and shown[m.end() :][:1] in _QUOTES and m.start() > 0
+                wraps.append((f"{m[1]} {m[3]}", m[2].replace(".", "_").casefold(), quoted))
+    low = shown.casefold()
+    filler = any(w in low for w in _TELLING) and any(map(_latin, _UNITS.split(low)))
+    text = _ID.sub("\\g<0>\n", shown)
+    raws, units = _UNITS.split(text), _UNITS.split(masked(text))
+    if len(raws) != len(units):
+        units = list(map(masked, raws))
+    pairs = [(r, v) for r, u in zip(raws, units) if (v := u.strip())]
+    hollow = bool(marks) or bool(_EMPTY.search(shown))
+    short = len(shown) <= SHORT_CHARS and len(pairs) <= SHORT_UNITS
+    cuts = [x for r, u in pairs if short and (field == "content" or "§" in u) for x in _cuts(r, u)]
+    return (
+        filler, [_hash(u) for _, u in pairs], [len(u) <= 80 and known(r, u) for r, u in pairs], [pattern(r, hollow) for r, _ in pairs], [hollow and bool(_EMPTY.search(r)) for r, _ in pairs],
+        _hash(_strict(shown)), marks, *(map(list, zip(*wraps)) if wraps else ([],) * 3), short, *(map(list, zip(*cuts)) if cuts else ([],) * 5),
+    )
 
 
 def _unfilled(rows: DataFrame) -> DataFrame:
     """(item_seq, field) with a slot that other records of the same template fill and this one doesn't."""
-    each = rows.select("item_seq", "field", "other", F.inline(F.arrays_zip(F.col("patterns").alias("pattern"), F.col("empty").alias("is_empty"), F.col("units").alias("unit")))).where("pattern <> 0")
-    asks = each.where("is_empty").select("item_seq", "field", "pattern").distinct()
+    asks = rows.where("exists(empty, x -> x)").select("item_seq", "field", F.inline(F.arrays_zip(F.col("patterns").alias("pattern"), F.col("empty").alias("is_empty")))).where("is_empty and pattern <> 0").select("item_seq", "field", "pattern").distinct()
+    each = rows.select("other", F.inline(F.arrays_zip(F.col("patterns").alias("pattern"), F.col("empty").alias("is_empty"), F.col("units").alias("unit"))))
     held = each.where("not is_empty").join(asks.select("pattern").distinct(), "pattern", "left_semi")
     fills = held.groupBy("pattern").agg(F.approx_count_distinct("unit").alias("values"), F.approx_count_distinct("other").alias("others")).where(F.least("values", "others") >= FILLED)
     return asks.join(fills, "pattern", "left_semi").select("item_seq", "field")
@@ -205,7 +213,7 @@ def _markers(rows: DataFrame) -> DataFrame:
     key = ["item_seq", "field"]
     marks = rows.where("size(marks) > 0").select(*key, "other", F.explode("marks").alias("mark"))
     said = marks.where("mark <> 0").select("mark", "other").distinct().groupBy("mark").count().where(F.col("count") >= MENTIONS).select("mark")
-    wraps = cut(rows.where("size(wraps) > 0").select(*key, F.inline("wraps")))
+    wraps = cut(rows.where("size(kinds) > 0").select(*key, F.inline(F.arrays_zip(F.col("kinds").alias("kind"), F.col("names").alias("name"), "quoted"))))
     names = wraps.where("kind = ''").select("name").distinct().withColumn("is_name", F.lit(True))
     others = wraps.where("kind <> ''").join(names, "name", "left")
     induced = others.groupBy("kind").agg(F.avg(F.col("is_name").isNotNull().cast("int")).alias("share"), F.countDistinct(F.when(F.col("is_name"), F.col("name"))).alias("n"))
@@ -220,41 +228,39 @@ def residue(items: DataFrame) -> DataFrame:
     What recurs is learned from the records given: a page text that stands in one record only, and is no status of
     HTTP, empty value or filler, can't be told from a short real text and is no case.
     """
-    rows = cut(items.select("item_seq", "title", "content").mapInPandas(_fields, _ROWS).where("sure or size(units) > 0").distinct())
+    rows = cut(items.select("item_seq", "title", "content").mapInArrow(_fields, _SCHEMA))
     key = ["item_seq", "field"]
-    fields = rows.where("size(units) > 0")
     # Whole contents that recur over unrelated records; pre-aggregated by what stands beside them.
-    whole = fields.groupBy("whole", "short", "field", "other").agg(F.count("*").alias("n"), F.min("units").alias("units"))
+    whole = rows.groupBy("whole", "short", "field", "other").agg(F.countDistinct("item_seq").alias("n"))
     content = F.col("field") == "content"
-    recurs = whole.groupBy("whole", "short").agg(
-        F.sum(F.when(content, F.col("n"))).alias("n"), F.count_if(content).alias("others"), F.count_if(~content).alias("titled"),
-        F.min("units").alias("units"),
-    )
+    recurs = whole.groupBy("whole", "short").agg(F.sum(F.when(content, F.col("n"))).alias("n"), F.count_if(content).alias("others"), F.count_if(~content).alias("titled"))
     enough = (F.col("others") >= F.when(F.col("short"), RECURS).otherwise(UNRELATED)) | F.col("short") & (F.col("others") > 0) & (F.col("others") + F.col("titled") >= RECURS)
-    constant = cut(recurs.where(enough & (F.col("others") >= 0.5 * F.col("n"))).select("whole", "units"))
-    seeds = constant.select(F.explode("units").alias("unit")).distinct()
+    constant = cut(recurs.where(enough & (F.col("others") >= 0.5 * F.col("n"))).select("whole"))
+    alone = rows.where("field = 'content'").join(constant, "whole", "left_semi").select(*key, "units")
+    seeds = cut(alone.select(F.explode("units").alias("unit")).distinct())
 
-    cuts = rows.where("size(cuts) > 0").select(F.inline("cuts")).distinct()
-    is_seed = lambda c: seeds.select(F.col("unit").alias(c), F.lit(True).alias(f"{c}_seed"))
-    composed = cuts.join(is_seed("a"), "a", "left").join(is_seed("b"), "b", "left").where("(a_known or a_seed) and (b_known or b_seed)").select("unit")
-    seeds = seeds.unionByName(composed).distinct()
+    # Two page texts in one unit.
+    cuts = rows.where("size(cut_unit) > 0").select(F.inline(F.arrays_zip(*(F.col(f"cut_{c}").alias(c) for c in ("unit", "a", "a_known", "b", "b_known")))))
+    first = cuts.where("a_known").unionByName(cuts.where("not a_known").join(seeds.select(F.col("unit").alias("a")), "a", "left_semi")).select("unit", "b", "b_known").distinct()
+    composed = first.where("b_known").unionByName(first.where("not b_known").join(seeds.select(F.col("unit").alias("b")), "b", "left_semi")).select("unit")
+    seeds = cut(seeds.unionByName(composed).distinct())
 
-    unit = fields.select(*key, "other", "short", F.inline(F.arrays_zip(F.col("units").alias("unit"), F.col("known").alias("rule"))))
     # Only fields that hold a known unit can hold its neighbours.
-    sure = unit.join(seeds.withColumn("seed", F.lit(True)), "unit", "left").withColumn("is_known", F.col("rule") | F.col("seed").isNotNull())
-    some = cut(sure.groupBy(*key, "other", "short").agg(F.max("is_known").alias("some"), F.collect_list(F.struct("unit", "is_known")).alias("us")).where("some"))
-    beside = some.select("other", "short", F.inline("us")).where("not is_known").groupBy("unit", "other").agg(F.count("*").alias("with"), F.count_if("short").alias("with_short"))
-    beside = beside.groupBy("unit").agg(F.sum("with").alias("with"), F.sum("with_short").alias("with_short"), F.count("*").alias("others"))
-    n = unit.join(beside.select("unit"), "unit", "left_semi").groupBy("unit").agg(F.count("*").alias("n"), F.count_if("short").alias("n_short"))
+    of = lambda df: df.select(*key, "other", "short", F.inline(F.arrays_zip(F.col("units").alias("unit"), F.col("known").alias("rule"))))
+    unit = of(rows)
+    holds = unit.where("rule").select(*key).unionByName(unit.where("not rule").join(seeds, "unit", "left_semi").select(*key)).distinct()
+    some = cut(of(rows.join(holds, key, "left_semi")).distinct().join(seeds.withColumn("seed", F.lit(True)), "unit", "left").select(*key, "other", "short", "unit", (F.col("rule") | F.col("seed").isNotNull()).alias("is_known")))
+    beside = some.where("not is_known").groupBy("unit", "other").agg(F.count("*").alias("with"), F.count_if("short").alias("with_short"))
+    beside = cut(beside.groupBy("unit").agg(F.sum("with").alias("with"), F.sum("with_short").alias("with_short"), F.count("*").alias("others")))
+    n = unit.join(beside.select("unit"), "unit", "left_semi").groupBy("unit").agg(F.countDistinct(*key).alias("n"), F.countDistinct(*(F.when(F.col("short"), F.col(c)) for c in key)).alias("n_short"))
     wide = F.expr(f"others >= {UNRELATED} and `with` >= 0.9 * n")
     grown = beside.join(n, "unit").where(F.expr("n_short >= 2 and with_short >= 0.9 * n_short") | wide).select("unit", wide.alias("wide"))
     told = F.col("is_known") | F.when(F.col("short"), F.col("wide").isNotNull()).otherwise(F.coalesce("wide", F.lit(False)))
     pages = (
-        some.select(*key, "short", F.inline("us")).join(grown, "unit", "left").groupBy(*key, "short").agg(F.avg(told.cast("int")).alias("share"))
+        some.join(grown, "unit", "left").groupBy(*key, "short").agg(F.avg(told.cast("int")).alias("share"))
         .where(F.expr(f"share = 1 or not short and share >= {SHARE}")).select(*key)
     )
-    alone = fields.where("field = 'content'").join(constant, "whole", "left_semi").select(*key)
-    return rows.where("sure").select(*key).union(_markers(rows)).union(_unfilled(rows)).union(pages).union(alone).distinct()
+    return rows.where("sure").select(*key).union(_markers(rows)).union(_unfilled(rows)).union(pages).union(alone.select(*key)).distinct()
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
