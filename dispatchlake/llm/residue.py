@@ -213,7 +213,7 @@ def _markers(rows: DataFrame) -> DataFrame:
     key = ["item_seq", "field"]
     marks = rows.where("size(marks) > 0").select(*key, "other", F.explode("marks").alias("mark"))
     said = marks.where("mark <> 0").select("mark", "other").distinct().groupBy("mark").count().where(F.col("count") >= MENTIONS).select("mark")
-    wraps = cut(rows.where("size(kinds) > 0").select(*key, F.inline(F.arrays_zip(F.col("kinds").alias("kind"), F.col("names").alias("name"), "quoted"))))
+    wraps = rows.where("size(kinds) > 0").select(*key, F.inline(F.arrays_zip(F.col("kinds").alias("kind"), F.col("names").alias("name"), "quoted")))
     names = wraps.where("kind = ''").select("name").distinct().withColumn("is_name", F.lit(True))
     others = wraps.where("kind <> ''").join(names, "name", "left")
     induced = others.groupBy("kind").agg(F.avg(F.col("is_name").isNotNull().cast("int")).alias("share"), F.countDistinct(F.when(F.col("is_name"), F.col("name"))).alias("n"))
@@ -235,9 +235,9 @@ def residue(items: DataFrame) -> DataFrame:
     content = F.col("field") == "content"
     recurs = whole.groupBy("whole", "short").agg(F.sum(F.when(content, F.col("n"))).alias("n"), F.count_if(content).alias("others"), F.count_if(~content).alias("titled"))
     enough = (F.col("others") >= F.when(F.col("short"), RECURS).otherwise(UNRELATED)) | F.col("short") & (F.col("others") > 0) & (F.col("others") + F.col("titled") >= RECURS)
-    constant = cut(recurs.where(enough & (F.col("others") >= 0.5 * F.col("n"))).select("whole"))
-    alone = rows.where("field = 'content'").join(constant, "whole", "left_semi").select(*key, "units")
-    seeds = cut(alone.select(F.explode("units").alias("unit")).distinct())
+    constant = recurs.where(enough & (F.col("others") >= 0.5 * F.col("n"))).select("whole")
+    alone = cut(rows.where(content).join(constant, "whole", "left_semi").select(*key, "units"))
+    seeds = alone.select(F.explode("units").alias("unit")).distinct()
 
     # Two page texts in one unit.
     cuts = rows.where("size(cut_unit) > 0").select(F.inline(F.arrays_zip(*(F.col(f"cut_{c}").alias(c) for c in ("unit", "a", "a_known", "b", "b_known")))))
@@ -251,7 +251,7 @@ def residue(items: DataFrame) -> DataFrame:
     holds = unit.where("rule").select(*key).unionByName(unit.where("not rule").join(seeds, "unit", "left_semi").select(*key)).distinct()
     some = cut(of(rows.join(holds, key, "left_semi")).distinct().join(seeds.withColumn("seed", F.lit(True)), "unit", "left").select(*key, "other", "short", "unit", (F.col("rule") | F.col("seed").isNotNull()).alias("is_known")))
     beside = some.where("not is_known").groupBy("unit", "other").agg(F.count("*").alias("with"), F.count_if("short").alias("with_short"))
-    beside = cut(beside.groupBy("unit").agg(F.sum("with").alias("with"), F.sum("with_short").alias("with_short"), F.count("*").alias("others")))
+    beside = beside.groupBy("unit").agg(F.sum("with").alias("with"), F.sum("with_short").alias("with_short"), F.count("*").alias("others"))
     n = unit.join(beside.select("unit"), "unit", "left_semi").groupBy("unit").agg(F.countDistinct(*key).alias("n"), F.countDistinct(*(F.when(F.col("short"), F.col(c)) for c in key)).alias("n_short"))
     wide = F.expr(f"others >= {UNRELATED} and `with` >= 0.9 * n")
     grown = beside.join(n, "unit").where(F.expr("n_short >= 2 and with_short >= 0.9 * n_short") | wide).select("unit", wide.alias("wide"))
