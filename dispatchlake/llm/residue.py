@@ -58,10 +58,11 @@ _QUOTES = "`\"'“”„‘’«»‚「」『』"
 _UNITS = re.compile(r"(?<=[.!?…])\s+|(?<=。)|(?<=！)|(?<=？)|\n")
 _WORDS = re.compile(r"\w+")
 _VARIABLE = r"(?<![\w.])[a-z]+(?:_[a-z]+)+(?![\w.])"
-_GAP = "\ue000"
+_GAP, _CODE = "\ue000", "\ue001"
 _WIDE = re.compile(r"(?<=[^\W\d_]) {2,}(?=\w)")
 #: What may hold a slot without filling it, and a gap that a slot has left.
 _EMPTY = re.compile(rf"(?<![\w/])(?:undefined|null|nan|NaN|None|nil|N/A|\(null\)|\[object Object\])(?![\w/])|{_VARIABLE}|\(\s*\)|{_GAP}|\s+(?=[,;]\s)")
+_SUSPECT = ("_", "(", "[object", "undefined", "null", "nan", "NaN", "None", "nil", "N/A", " ,", " ;", _GAP)
 #: Units of a short field at most, and its characters: beyond that more evidence is asked for.
 SHORT_UNITS, SHORT_CHARS = 8, 500
 #: Words of a unit, at most, that may be two page texts in one.
@@ -82,14 +83,14 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf8", "surrogatepass")) - (1 << 63)
 
 
-def masked(unit: str) -> str:
-    """Small letters with 9 or 999 for numbers and § for ids."""
-    return _DIGITS.sub(lambda m: "999" if len(m[0]) == 3 and m[0][0] in "12345" else "9", _ID.sub("§", unit)).casefold().strip()
+def _strict(text: str) -> str:
+    """As it is but for case, ids (already §) and HTTP's statuses, so that texts that differ in a fact differ."""
+    return _STATUS.sub(_CODE, text).casefold()
 
 
-def _strict(text: str) -> str:
-    """As it is but for ids and HTTP's statuses, so that texts that differ in a fact differ."""
-    return _STATUS.sub("999", _ID.sub("§", text)).casefold()
+def masked(strict: str) -> str:
+    """With 9 for all other numbers."""
+    return _DIGITS.sub("9", strict)
 
 
 def _latin(unit: str) -> bool:
@@ -185,17 +186,15 @@ def _field(field: str, t: str) -> tuple | None:
                 wraps.append((f"{m[1]} {m[3]}", m[2].replace(".", "_").casefold(), quoted))
     low = shown.casefold()
     filler = any(w in low for w in _TELLING) and any(map(_latin, _UNITS.split(low)))
-    text = _ID.sub("\\g<0>\n", shown)
-    raws, units = _UNITS.split(text), _UNITS.split(masked(text))
-    if len(raws) != len(units):
-        units = list(map(masked, raws))
-    pairs = [(r, v) for r, u in zip(raws, units) if (v := u.strip())]
-    hollow = bool(marks) or bool(_EMPTY.search(shown))
+    raws = _UNITS.split(_ID.sub("§\n", shown))
+    strict = _strict("\0".join(raws))
+    pairs = [(r, v) for r, u in zip(raws, masked(strict).split("\0")) if (v := u.strip())]
+    hollow = bool(marks) or any(x in shown for x in _SUSPECT) and bool(_EMPTY.search(shown))
     short = len(shown) <= SHORT_CHARS and len(pairs) <= SHORT_UNITS
     cuts = [x for r, u in pairs if short and (field == "content" or "§" in u) for x in _cuts(r, u)]
     return (
         filler, [_hash(u) for _, u in pairs], [len(u) <= 80 and known(r, u) for r, u in pairs], [pattern(r, hollow) for r, _ in pairs], [hollow and bool(_EMPTY.search(r)) for r, _ in pairs],
-        _hash(_strict(shown)), marks, *(map(list, zip(*wraps)) if wraps else ([],) * 3), short, *(map(list, zip(*cuts)) if cuts else ([],) * 5),
+        _hash(strict), marks, *(map(list, zip(*wraps)) if wraps else ([],) * 3), short, *(map(list, zip(*cuts)) if cuts else ([],) * 5),
     )
 
 
