@@ -36,7 +36,7 @@ LATIN_FILLER = frozenset(
     "voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt "
     "mollit anim id est laborum".split()
 )
-_TELLING = sorted(w for w in LATIN_FILLER if len(w) > 3)
+_TELLING = frozenset(w for w in LATIN_FILLER if len(w) > 3)
 _ID = re.compile(r"(?=[0-9a-f-]*\d)[0-9a-f][0-9a-f-]{6,}(?![\w])", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
 _REPEATED = re.compile(r"([^\W\d_])\1{3,}\Z|(\W)\2*\Z|(\w{3,})(?:\W+\3)+\Z")
@@ -185,7 +185,7 @@ def _field(field: str, t: str) -> tuple | None:
                 quoted = shown[: m.start()][-1:] in _QUOTES and shown[m.end() :][:1] in _QUOTES and m.start() > 0
                 wraps.append((f"{m[1]} {m[3]}", m[2].replace(".", "_").casefold(), quoted))
     low = shown.casefold()
-    filler = any(w in low for w in _TELLING) and any(map(_latin, _UNITS.split(low)))
+    filler = not _TELLING.isdisjoint(low.replace(".", " ").split()) and any(map(_latin, _UNITS.split(low)))
     raws = _UNITS.split(_ID.sub("§\n", shown))
     strict = _strict("\0".join(raws))
     pairs = [(r, v) for r, u in zip(raws, masked(strict).split("\0")) if (v := u.strip())]
