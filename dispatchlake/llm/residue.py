@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.functions.tables import cut, table
+from dispatchlake.functions.tables import Scratch, table
 from dispatchlake.llm.lookalike import skeleton
 
 # How programming languages write an empty value.
@@ -227,6 +227,8 @@ def residue(items: DataFrame) -> DataFrame:
     What recurs is learned from the records given: a page text that stands in one record only, and is no status of
     HTTP, empty value or filler, can't be told from a short real text and is no case.
     """
+    scratch = Scratch(items.sparkSession)
+    cut = scratch.keep
     rows = cut(items.select("item_seq", "title", "content").mapInArrow(_fields, _SCHEMA))
     key = ["item_seq", "field"]
     # Whole contents that recur over unrelated records; pre-aggregated by what stands beside them.
@@ -259,7 +261,7 @@ def residue(items: DataFrame) -> DataFrame:
         some.join(grown, "unit", "left").groupBy(*key, "short").agg(F.avg(told.cast("int")).alias("share"))
         .where(F.expr(f"share = 1 or not short and share >= {SHARE}")).select(*key)
     )
-    return rows.where("sure").select(*key).union(_markers(rows)).union(_unfilled(rows)).union(pages).union(alone.select(*key)).distinct()
+    return scratch.end(rows.where("sure").select(*key).union(_markers(rows)).union(_unfilled(rows)).union(pages).union(alone.select(*key)).distinct())
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
