@@ -71,6 +71,12 @@ _MICRO = timedelta(microseconds=1)
 #: Weight of a reading by how long before the fetch it lies: under 3 days, 45 days, 2 years, more, in the future.
 LAG_WEIGHT = (1.0, 0.3, 0.05, 0.005, 0.001)
 CERTAIN = 0.95
+#: Values that the registry's order of dates counts as, and the share of them that each other order gets.
+PRIOR, DOUBT = 50.0, 1e-5
+#: Share of a source's all-numeric dates that are damaged, so that what they can only be read as means nothing.
+DAMAGED = 0.02
+#: A source writes mostly one order: the counts are raised to this power before they are weights.
+SHARPEN = 2
 READINGS = ("sole", "dmy", "mdy", "ymd")
 
 
@@ -92,6 +98,14 @@ def _offset(text: str | None) -> int | None:
     return None if hours > 18 or minutes > 59 else (hours * 60 + minutes) * (-1 if m[1] == "-" else 1)
 
 
+def _naive(y: int, mo: int, d: int, h: int, mi: int, s: int, us: int) -> int | None:
+    """As if it were UTC; None for an impossible date or time."""
+    try:
+        return (datetime(y, mo, d, h, mi, s, us, tzinfo=UTC) - _EPOCH) // _MICRO
+    except ValueError:
+        return None
+
+
 def _instant(y: int, mo: int, d: int, h: int, mi: int, s: int, us: int, off: int | None, zone: ZoneInfo | None) -> int | None:
     """Microseconds since 1970 UTC; None for an impossible, repeated or skipped local time and where the zone is unknown."""
     try:
@@ -107,8 +121,13 @@ def _instant(y: int, mo: int, d: int, h: int, mi: int, s: int, us: int, off: int
 
 
 def readings(value: str | None, zone: ZoneInfo | None) -> dict[str, int]:
-    """Every reading of ``value`` with its instant: {"sole": us}, or some of dmy, mdy, ymd for all-numeric dates."""
-    if value is None or not (text := value.strip()) or len(text) > 80:
+    """Every reading of ``value`` that has an instant: {"sole": us}, or some of dmy, mdy, ymd for all-numeric dates."""
+    return {k: us for k, (us, _) in hypotheses(value, zone).items() if us is not None}
+
+
+def hypotheses(value: str | None, zone: ZoneInfo | None) -> dict[str, tuple[int | None, int]]:
+    """Every way to read ``value`` with its instant, None where the local time has none or two, and roughly when it was."""
+    if value is None or not (text := value.strip()):
         return {}
     for name, shape in _SHAPES:
         if not (m := shape.match(text)):
@@ -118,7 +137,8 @@ def readings(value: str | None, zone: ZoneInfo | None) -> dict[str, int]:
             digits = len(g["e"])
             scale = 1_000_000 if digits <= 11 else 1000 if digits <= 14 else 1
             cut = int((g["ef"] or "0").ljust(6, "0")[:6]) * scale // 1_000_000
-            return {"sole": int(g["e"]) * scale + cut}
+            at = int(g["e"]) * scale + cut
+            return {"sole": (at, at)}
         h, mi, s = int(g["H"]), int(g["M"]), int(g.get("S") or 0)
         us = int((g.get("f") or "0").ljust(6, "0")[:6])
         if half := g.get("half"):
@@ -134,14 +154,13 @@ def readings(value: str | None, zone: ZoneInfo | None) -> dict[str, int]:
         if name == "numeric":
             a, b, c = int(g["a"]), int(g["b"]), int(g["c"])
             year = c if c > 99 else 2000 + c
-            out = {"dmy": _instant(year, b, a, h, mi, s, us, off, zone), "mdy": _instant(year, a, b, h, mi, s, us, off, zone)}
-            if c <= 31:
-                out["ymd"] = _instant(2000 + a, b, c, h, mi, s, us, off, zone)
-            return {k: v for k, v in out.items() if v is not None}
-        month = int(g["m"]) if g.get("m") else MONTH.get(g["mon"].lower())
-        year = int(g["Y"])
-        at = month and _instant(year if year > 99 else 2000 + year, month, int(g["d"]), h, mi, s, us, off, zone)
-        return {} if at is None else {"sole": at}
+            dates = {"dmy": (year, b, a), "mdy": (year, a, b)} | ({"ymd": (2000 + a, b, c)} if c <= 31 else {})
+        else:
+            month = int(g["m"]) if g.get("m") else MONTH.get(g["mon"].lower())
+            year = int(g["Y"])
+            dates = {"sole": (year if year > 99 else 2000 + year, month, int(g["d"]))} if month else {}
+        about = {k: _naive(*at, h, mi, s, us) for k, at in dates.items()}
+        return {k: (_instant(*at, h, mi, s, us, off, zone), about[k]) for k, at in dates.items() if about[k] is not None}
     return {}
 
 
@@ -150,21 +169,21 @@ def _lag(us: int, fetched: float) -> int:
     return 2 if days != days else 4 if days < -1 else int(np.searchsorted((3, 45, 730), days))
 
 
-def _signature(found: dict[str, int], fetched: float) -> str:
+def _signature(ways: dict[str, tuple[int | None, int]], fetched: float) -> str:
     """The possible readings with the class of their lag; a bounded number of different strings."""
-    return "|".join(f"{k}:{_lag(v, fetched)}" for k, v in sorted(found.items()))
+    return "|".join(f"{k}:{_lag(about if us is None else us, fetched)}" for k, (us, about) in sorted(ways.items()))
 
 
 def _read(batches: Iterator[pd.DataFrame], full: bool) -> Iterator[pd.DataFrame]:
     for b in batches:
         fetched = b["fetched_us"].astype("float64").to_numpy()
-        found = [readings(v, _zone(z)) for v, z in zip(b["value"], b["tz"])]
+        found = [hypotheses(v, _zone(z)) for v, z in zip(b["value"], b["tz"])]
         out = pd.DataFrame({"source": b["source"], "signature": [_signature(f, t) for f, t in zip(found, fetched)]})
         if full:
             out["rec_id"] = b["rec_id"]
             out["canonical"] = [bool(_CANONICAL.match(v.strip())) if v else False for v in b["value"]]
             for k in READINGS:
-                out[k] = pd.array([f.get(k) for f in found], dtype="Int64")
+                out[k] = pd.array([f[k][0] if k in f else None for f in found], dtype="Int64")
         else:
             out["date_order"] = b["date_order"]
         yield out
@@ -173,34 +192,44 @@ def _read(batches: Iterator[pd.DataFrame], full: bool) -> Iterator[pd.DataFrame]
 def fit_mixture(counts: dict[str, float], declared: str | None, rounds: int = 30) -> dict[str, tuple[str | None, float]]:
     """EM over one source's signatures: for each the chosen reading (None: unresolved) and its posterior.
 
-    ``declared`` is the order the source is known to write its numeric dates in: readings that contradict it have no
-    prior weight, so that a value impossible in that order stays unresolved.
+    ``declared`` is the order the source is said to write its numeric dates in: a prior of PRIOR values, nearly all of
+    them in that order. It settles what the values leave open and gives way where enough of them can only be read in
+    another order. A reading whose local time has no single instant takes part like any other; chosen, it stays unresolved.
     """
     parsed = {s: [(k, int(c)) for k, c in (x.split(":") for x in s.split("|"))] for s in counts if s}
-    weight = {k: 1.0 for k in READINGS}
-    if declared in READINGS:
-        weight = {k: float(k in ("sole", declared)) for k in READINGS}
     numeric = READINGS[1:]
-    fixed = {k: w for k, w in weight.items() if not w}
+    prior = {k: PRIOR * (1 - 2 * DOUBT if k == declared else DOUBT) if declared in numeric else 1.0 for k in numeric}
+
+    def weights(total: dict[str, float]) -> dict[str, float]:
+        z = sum(n**SHARPEN for n in total.values())
+        return {"sole": 1.0} | {k: n**SHARPEN / z for k, n in total.items()}
+
+    # The first guess counts the values that can be read in one order only.
+    weight = weights({k: n + sum(c for s, c in counts.items() if [k] == [o for o, _ in parsed.get(s, ())]) for k, n in prior.items()})
+
+    def likelihoods(cs: list[tuple[str, int]]) -> dict[str, float]:
+        lik = {k: weight[k] * LAG_WEIGHT[c] for k, c in cs}
+        # A value that the source's own order can't explain may be damaged instead.
+        return lik if "sole" in lik else lik | {"": DAMAGED * max(LAG_WEIGHT[c] for _, c in cs) * (1 - max(weight[k] for k, _ in cs))}
+
     for _ in range(rounds):
-        total = {k: 0.0 if k in fixed else 0.5 for k in READINGS}
+        total = dict(prior)
         for s, cs in parsed.items():
-            lik = [(k, weight[k] * LAG_WEIGHT[c]) for k, c in cs]
-            z = sum(x for _, x in lik)
-            if z:
-                for k, x in lik:
-                    total[k] += counts[s] * x / z
-        z = sum(total[k] for k in numeric) or 1.0
-        new = weight | {k: total[k] / z for k in numeric}
-        if max(abs(new[k] - weight[k]) for k in READINGS) < 1e-6:
+            lik = likelihoods(cs)
+            z = sum(lik.values())
+            for k in numeric:
+                if k in lik and z:
+                    total[k] += counts[s] * lik[k] / z
+        new = weights(total)
+        if max(abs(new[k] - weight[k]) for k in READINGS) < 1e-9:
             break
         weight = new
     out: dict[str, tuple[str | None, float]] = {}
     for s, cs in parsed.items():
-        lik = {k: weight[k] * LAG_WEIGHT[c] for k, c in cs}
+        lik = likelihoods(cs)
         z, best = sum(lik.values()), max(lik, key=lambda k: (lik[k], k))
         p = lik[best] / z if z else 0.0
-        out[s] = (best if p >= CERTAIN else None, p)
+        out[s] = (best if best and p >= CERTAIN else None, p)
     return out
 
 

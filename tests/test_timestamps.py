@@ -3,7 +3,7 @@ from zoneinfo import ZoneInfo
 
 import pytest
 
-from dispatchlake.operators.timestamps import fit_mixture, normalise_instants, readings
+from dispatchlake.operators.timestamps import fit_mixture, hypotheses, normalise_instants, readings
 
 BERLIN = ZoneInfo("Europe/Berlin")
 
@@ -67,6 +67,21 @@ def test_mixture_leaves_what_stays_open():
     assert fit_mixture({"dmy:0": 3}, "mdy")["dmy:0"][0] is None
 
 
+def test_values_overrule_a_wrong_registry():
+    """Without the mixture the registry's order would be taken; a few damaged values don't overrule it."""
+    fit = fit_mixture({"dmy:0": 300, "dmy:0|mdy:1": 90}, "mdy")
+    assert fit["dmy:0"][0] == "dmy" and fit["dmy:0|mdy:1"][0] == "dmy"
+    fit = fit_mixture({"dmy:0": 3, "mdy:1": 200, "dmy:0|mdy:1": 90, "dmy:0|mdy:3": 5}, "mdy")
+    assert fit["dmy:0"][0] is None and fit["dmy:0|mdy:1"][0] == "mdy" == fit["dmy:0|mdy:3"][0]
+
+
+def test_what_no_clock_showed():
+    assert readings("0000-00-00 00:00:00", BERLIN) == {} and readings("x" * 100_000, BERLIN) == {}
+    # Repeated by a clock change if the day comes first, plain if the month does: the order decides, not the gap.
+    assert set(hypotheses("10/26/2025 02:30", BERLIN)) == {"mdy"} and hypotheses("10/26/2025 02:30", BERLIN)["mdy"][0] is None
+    assert readings("2026-01-03 10:13:02" + " " * 200, None) == {} and readings(" " * 200 + "2026-01-03 10:13:02Z", None)
+
+
 def test_records(spark):
     values = spark.createDataFrame(
         [(1, "a", "03/04/2026 10:00", 1775300000000000, "x"), (1, "a", "03/04/2026 10:00", 1775300000000000, "x"), (2, None, "03/04/2026 10:00", None, "x"), (3, "a", None, 1, "x"), (4, "b", "2026-01-03T10:13:02Z", 1, "x")],
