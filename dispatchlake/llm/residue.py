@@ -66,7 +66,7 @@ _SUSPECT = ("_", "(", "[object", "undefined", "null", "nan", "NaN", "None", "nil
 #: Units of a short field at most, and its characters: beyond that more evidence is asked for.
 SHORT_UNITS, SHORT_CHARS = 8, 500
 #: Words of a unit, at most, that may be two page texts in one.
-CUT_WORDS = 24
+CUT_WORDS = 16
 #: Share of the units of a longer field that must be known or learned.
 SHARE = 0.9
 #: Words that tell that a text speaks about a marker.
