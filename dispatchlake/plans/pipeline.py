@@ -8,9 +8,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-
-class PermanentError(Exception):
-    """An outside service that will not answer again, such as one that refuses payment: it ends the run."""
+from dispatchlake.operators.selection import PermanentError
 
 
 @dataclass(frozen=True)
@@ -70,7 +68,8 @@ def run_stages(stages: Sequence[Stage], states: StateFile, run: str, context: di
             state.metrics[s.name] = s.run(context)
         except Exception as e:
             alert(f"{run}: {s.name}: {e}")
-            if not s.optional or isinstance(e, TimeoutError):
+            # An outside service that will not answer again ends the run, whichever stage meets it.
+            if not s.optional or isinstance(e, TimeoutError) or PermanentError.__name__ in f"{type(e).__name__} {e}":
                 state.status = "failed"
                 states.write(state)
                 raise

@@ -552,7 +552,7 @@ def board_quota_topk(s: SparkSession, d: str) -> DataFrame:
 def diverse_headlines(s: SparkSession, d: str) -> DataFrame:
     """Newest headlines of each interest of which no two share a name."""
     live = table(s, d, "summaries").where("pruned_at is null").select("interest_key", "id", F.unix_micros("created_at").alias("score"), text.salient_entities(F.col("headline")).alias("names"))
-    return selection.diverse_fold(live, "interest_key", "id", "score", "names", 15, 300)
+    return selection.diverse_fold(live, "interest_key", "id", "score", "names", 15)
 
 
 @query("""

@@ -37,8 +37,12 @@ def rank_events(items: DataFrame, sources: DataFrame, vectors: DataFrame, now: C
     """(board, event, rank, heat, sources, item_seq): each board's chosen events with their representative item.
 
     ``vectors`` has one vector for an item. Clusters whose representatives are similar enough are one event; an event's
-    board is the commonest among its members. Undated events are not fresh.
+    board is the commonest among its members. Undated events are not fresh. Items of disabled and board-only sources
+    are no members; the registry is a small table.
     """
+    # No member from a disabled source or from one that has its own board only.
+    out = sources.where("not enabled or board_only").select(F.col("id").alias("source"))
+    items = items.join(F.broadcast(out), "source", "left_anti")
     chosen = candidate_clusters(items, sources, s.clusters_per_board).select("cluster_id").distinct()
     registry = sources.select(F.col("id").alias("source"), "board_domain", F.coalesce("weight", F.lit(0.5)).alias("weight"))
     members = items.join(chosen, "cluster_id", "left_semi").join(registry, "source", "left").select(

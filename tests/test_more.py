@@ -75,3 +75,55 @@ def test_scratch_is_removed(spark):
     assert rows(out) == [(3,), (4,)] and not fs.exists(at)
     with pytest.raises(Exception):
         tables.table(spark, "/nowhere", "none").count()
+
+
+def test_diverse_fold_goes_on_until_full(spark):
+    from dispatchlake.operators import selection
+
+    data = [(g, i, 1000 - i, ["hot"] if i < 40 else [f"n{i * 7 % 23}", f"m{i % 11}"]) for g in "ab" for i in range(90)] + [("c", 1, 5, []), ("c", 2, 5, None)]
+    df = spark.createDataFrame(data, "g string, id bigint, score bigint, names array<string>")
+    want = set()
+    for g in "abc":
+        kept, seen = [], set()
+        for _, i, _, names in sorted((r for r in data if r[0] == g), key=lambda r: (-r[2], r[1])):
+            if len(kept) < 6 and not seen & set(names or ()):
+                kept.append(i)
+                seen |= set(names or ())
+        want |= {(g, i, n + 1) for n, i in enumerate(kept)}
+    assert set(rows(selection.diverse_fold(df, "g", "id", "score", "names", 6, 10))) == want
+    assert selection.diverse_fold(df.limit(0), "g", "id", "score", "names", 6).count() == 0
+
+
+def test_judges(spark):
+    from dispatchlake.operators import selection
+
+    def verdict(t):
+        if t == "bad":
+            raise ValueError
+        if t == "broke":
+            raise selection.PermanentError("402")
+        return "y" in t
+
+    df = spark.createDataFrame([(1, "yes"), (2, "no"), (3, "bad"), (4, "yes"), (5, None)], "id int, t string")
+    told = selection.judge(df, "id", "t", verdict)
+    assert rows(told.select("id", "vote", "clean")) == [(1, True, True), (2, False, True), (3, None, False), (4, True, True), (5, False, True)]
+    assert selection.cacheable(told).count() == 3
+    with pytest.raises(Exception, match="PermanentError"):
+        selection.judge(spark.createDataFrame([(1, "broke")], "id int, t string"), "id", "t", verdict).collect()
+    pairs = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (2, 3, 1)], "a int, b int, place int")
+    texts = spark.createDataFrame([(1, "boat"), (2, "boat"), (3, "car")], "id int, text string")
+    assert rows(selection.same_pairs(pairs, texts, lambda a, b: a == b)) == [(1, 2)]
+    assert rows(selection.same_pairs(pairs, texts, lambda a, b: True, budget=2)) == [(1, 2), (1, 3)]
+
+
+def test_permanent_errors_end_runs(tmp_path):
+    from dispatchlake.operators.selection import PermanentError
+    from dispatchlake.plans.pipeline import Stage, StateFile, run_stages
+
+    def fails(context):
+        raise PermanentError("no payment")
+
+    states = StateFile(str(tmp_path))
+    with pytest.raises(PermanentError):
+        run_stages([Stage("a", fails, optional=True)], states, "daily_20260101", {}, alert=lambda m: None)
+    assert states.read("daily_20260101").status == "failed"
