@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from dispatchlake.functions import text, vec
 from dispatchlake.functions.tables import cut
 from dispatchlake.operators.similarity import pairs_at_least
 
+#: Rows, in key order, whose first close ones are looked for among themselves and as many after them; later rounds take STRIDE times as many.
+NEARBY, STRIDE = 1024, 16
+
 
 def token_pairs(df: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
     """(a, b), a < b: rows whose token sets are equal, one within the other, or alike by Jaccard of at least ``least``.
@@ -27,6 +34,80 @@ def token_pairs(df: DataFrame, key: str, tokens: str, least: float) -> DataFrame
     return both.where((c == F.least(n, m)) | (c / (n + m - c) >= least)).select("a", "b")
 
 
+def first_close(df: DataFrame, key: str, tokens: str, least: float, top: int) -> DataFrame:
+    """(a, b, place): for each row the ``top`` first in key order of the later rows that ``token_pairs`` would give it.
+
+    Rounds look ahead further and further, and a row takes part until it has ``top`` or has met the end. The first
+    compares whole stretches of the order; the others meet on words, Jaccard's on the rarest of both rows and those of a
+    set within another on the rarest of the inner one, so that what the few rows left need is all that is formed.
+    """
+    rows = df.where(F.size(tokens) > 0).select(F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).distinct()
+    rows = cut(rows.orderBy("k", "t").select("k", "t", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("id")))
+    sizes = {r["p"]: r["count"] for r in rows.groupBy("p").count().toLocalIterator()}  # one number a partition
+    total, begins = 0, []
+    for p in sorted(sizes):
+        begins.append((p, total))
+        total += sizes[p]
+    if not total:
+        return rows.select(F.col("k").alias("a"), F.col("k").alias("b"), F.lit(1).cast("long").alias("place"))
+    begin = df.sparkSession.createDataFrame(begins, "p int, begin long")
+    rows = rows.join(F.broadcast(begin), "p").select("k", "t", (F.col("begin") + F.col("id").bitwiseAND((1 << 33) - 1)).alias("r"))
+    kind = dict(rows.dtypes)["k"]
+
+    width = NEARBY
+    both = rows.select("k", "t", "r", F.inline(F.array(*(F.struct((F.floor(F.col("r") / width) - i).alias("stretch"), F.lit(i == 0).alias("asks")) for i in (0, 1)))))
+    found = cut(both.groupBy("stretch").applyInPandas(lambda f: _first_of_stretch(f, least, top), f"a {kind}, b {kind}, ra long, rb long"))
+    out, left = [], rows
+    ranked = None
+    while True:
+        n = found.groupBy(F.col("ra").alias("r")).count()
+        ends = (F.floor(F.col("r") / width) + 2) * width
+        done = left.join(n, "r", "left").withColumn("done", (F.coalesce("count", F.lit(0)) >= top) | (ends >= total))
+        out.append(found.join(done.where("done").select(F.col("r").alias("ra")), "ra", "left_semi"))
+        left = cut(done.where("not done").select("k", "t", "r"))
+        if left.isEmpty():
+            break
+        width *= STRIDE
+        if ranked is None:
+            each = rows.select("r", F.size("t").alias("n"), F.explode("t").alias("w"))
+            rn = F.row_number().over(Window.partitionBy("r").orderBy("held", "w"))
+            ranked = cut(each.join(each.groupBy("w").agg(F.count("*").alias("held")), "w").select("r", "w", rn.alias("rn"), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).alias("most")))
+        bucket = F.floor(F.col("r") / width)
+        asks = ranked.join(left.select("r"), "r", "left_semi").select(F.col("r").alias("ra"), "w", F.col("rn").alias("rn_a"), F.col("most").alias("most_a"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+        meets = asks.join(ranked.withColumn("bucket", bucket), ["w", "bucket"]).where("r > ra and (rn_a <= most_a and rn <= most or rn_a = 1 or rn = 1)").select("ra", F.col("r").alias("rb")).distinct()
+        pairs = meets.join(left.select(F.col("r").alias("ra"), F.col("k").alias("a"), F.col("t").alias("ta")), "ra").join(rows.select(F.col("r").alias("rb"), F.col("k").alias("b"), F.col("t").alias("tb")), "rb")
+        c, n, m = F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb")
+        found = cut(_placed(pairs.where("a < b").where((c == F.least(n, m)) | (c / (n + m - c) >= least)), top).select("a", "b", "ra", "rb"))
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return _placed(whole, top).select("a", "b", "place")
+
+
+def _placed(pairs: DataFrame, top: int) -> DataFrame:
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("ra").orderBy("rb")).cast("long")).where(f"place <= {top}")
+
+
+def _first_of_stretch(f: pd.DataFrame, least: float, top: int) -> pd.DataFrame:
+    """(a, b, ra, rb): of each asking row the first ``top`` close ones after it in the stretch."""
+    f = f.sort_values("r", ignore_index=True)
+    size = f["t"].map(len).to_numpy(np.int64)
+    word, _ = pd.factorize(np.concatenate(f["t"].to_numpy()))
+    at = np.repeat(np.arange(len(f)), size)
+    order = np.argsort(word, kind="stable")
+    holders = np.split(at[order], np.cumsum(np.bincount(word))[:-1])  # of each word the rows, in order
+    words = np.split(word, np.cumsum(size)[:-1])
+    key, rank = f["k"].to_numpy(), f["r"].to_numpy()
+    out: list[tuple] = []
+    for i in np.flatnonzero(f["asks"]):
+        common = np.bincount(np.concatenate([holders[w] for w in words[i]]), minlength=len(f))[i + 1 :]
+        other = size[i + 1 :]
+        close = (common > 0) & ((common == np.minimum(size[i], other)) | (common / (size[i] + other - common) >= least))
+        later: Iterator[int] = (j + i + 1 for j in np.flatnonzero(close) if key[j + i + 1] != key[i])
+        out += [(key[i], key[j], rank[i], rank[j]) for j, _ in zip(later, range(top))]
+    return pd.DataFrame(out, columns=["a", "b", "ra", "rb"])
+
+
 def surface_candidates(df: DataFrame, key: str, subject: Column, vector: str, jaccard: float = 0.5, cosine: float = 0.55, top: int = 8, most: int | None = None) -> DataFrame:
     """(a, b, score, place): for each row, in key order, the later rows with a close subject (score 1) or a near vector.
 

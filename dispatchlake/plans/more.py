@@ -83,8 +83,7 @@ SELECT a, b, rn AS place FROM (SELECT a, b, row_number() OVER (PARTITION BY a OR
 def title_candidates(s: SparkSession, d: str) -> DataFrame:
     """For each cluster up to eight later ones whose titles share three tenths of their words."""
     c = table(s, d, "clusters").where("title is not null").select("cluster_id", "title").withColumn("t", F.array_distinct(F.filter(F.transform(F.split(text.folded(F.lower("title")), " "), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")))
-    pairs = candidates.token_pairs(c, "cluster_id", "t", 0.3)
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("b")).cast("long")).where("place <= 8")
+    return candidates.first_close(c, "cluster_id", "t", 0.3, 8)
 
 
 @query("""

@@ -19,6 +19,28 @@ def test_token_pairs_against_all_pairs(spark):
     assert got == [(i, j) for i in range(42) for j in range(i + 1, 42) if close(sets[i], sets[j])]
 
 
+@pytest.mark.parametrize("nearby", [4, 16, 1024])
+def test_first_close_against_all_pairs(spark, monkeypatch, nearby):
+    monkeypatch.setattr(candidates, "NEARBY", nearby)
+    monkeypatch.setattr(candidates, "STRIDE", 2)
+    words = "ant bee cow dog elk fox gnu hen".split()
+    sets = [[w for k, w in enumerate(words) if n * 37 % 101 >> k & 1] + [f"w{n % 13}"] for n in range(90)] + [["rare", "ant"], ["ape"], [], None, ["rare"], ["ape", "ape"], ["bee", "rare"]]
+    close = lambda a, b: bool(a and b) and (set(a) <= set(b) or set(b) <= set(a) or len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.4)
+    keys = sorted(f"k{n * 61 % 97:02}" for n in range(97))
+    got = rows(candidates.first_close(spark.createDataFrame(list(zip(keys, sets)), "k string, t array<string>").repartition(5), "k", "t", 0.4, 3))
+    want = {i: [j for j in range(i + 1, 97) if close(sets[i], sets[j])][:3] for i in range(97)}
+    assert got == [(keys[i], keys[j], place) for i, js in want.items() for place, j in enumerate(js, 1)]
+    assert candidates.first_close(spark.createDataFrame([], "k string, t array<string>"), "k", "t", 0.4, 3).count() == 0
+
+
+def test_first_close_looks_no_further_than_it_must(spark, monkeypatch):
+    """Rows that all are close to each other are done after the first stretch, so that no round meets on words."""
+    monkeypatch.setattr(candidates, "NEARBY", 32)
+    monkeypatch.setattr(candidates, "_placed", lambda pairs, top, placed=candidates._placed: placed(pairs, top) if "p" not in pairs.columns and "ta" not in pairs.columns else pytest.fail("met on words"))
+    df = spark.range(3000).selectExpr("id as k", "array('orun', 'opens', 'plant', concat('n', id % 7)) as t")
+    assert candidates.first_close(df, "k", "t", 0.3, 8).count() == 3000 * 8 - 36
+
+
 def test_surface_candidates(spark):
     df = spark.createDataFrame([(1, "Orun opens plant", [1.0, 0.0]), (2, "Plant opens Orun", [0.0, 1.0]), (3, "Ada leaves", [0.9, 0.1]), (4, None, [0.8, 0.3]), (5, "", None)], "id int, s string, v array<double>")
     got = candidates.surface_candidates(df, "id", F.col("s"), "v", top=2)
