@@ -13,7 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from itertools import islice
 from operator import mul
 
 import numpy as np
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from dispatchlake.functions.tables import cut, table
 from dispatchlake.llm import residue
+from dispatchlake.llm.hashing import mix
 from dispatchlake.llm.lookalike import skeleton
 
 #: Pages that the potentials are trained on, at most.
@@ -44,7 +45,7 @@ _COLON = re.compile(r"[^:：]{3,40}[:：]")
 #: A line that a break in a sentence left: it ends after an initial, or holds one word and a full stop.
 _INITIAL = re.compile(r"(?:^|\s)[^\W\d_]\.$|^[^\W\d_]+\.$")
 SCHEMA = (
-    "item_seq long, field string, line int, shape int, logit float, whole long, start long, matter long, prev int, next int, dense array<float>, words array<int>"
+    "item_seq long, field string, line int, shape int, logit float, whole long, start long, matter long, prev int, next int, dense array<float>, words array<long>"
 )
 DENSE = 16
 STATS = 6
@@ -75,8 +76,9 @@ def _matter(title: str | None) -> int:
     return min((_hash(w) for w in words if len(w) > 2), default=0)
 
 
-def _separators(line: str) -> int:
-    return len(_SEPARATOR.findall(line[:400]))
+def _separators(line: str) -> float:
+    """Separators, in a long line for every 400 characters."""
+    return len(_SEPARATOR.findall(line)) / max(1.0, len(line) / 400)
 
 
 def shape_of(line: str) -> int:
@@ -84,27 +86,48 @@ def shape_of(line: str) -> int:
     end = line[-48:]
     if end[-1:] == "." and _INITIAL.search(end):
         return PARAGRAPH
-    size = len(line) if line.isascii() else len(line) + 2 * len(_CJK.findall(line[:400]))
+    size = len(line) if len(line) >= 40 or line.isascii() else len(line) + 2 * len(_CJK.findall(line))
     if size < 40 or _separators(line) > 1:
         return LABEL
     return PARAGRAPH if _END.search(end[-8:]) else HEADLINE
 
 
-@lru_cache(maxsize=300_000)
-def _gram(g: str) -> int:
-    return xxhash.xxh32_intdigest(g.encode("utf8", "surrogatepass")) & ((1 << SPACE_BITS) - 1)
+class _Codes(dict):
+    """Hashes of words, those met lately."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = code = xxhash.xxh32_intdigest(word.encode("utf8", "surrogatepass"))
+        return code
 
-def _grams(masked: str) -> list[int]:
-    words = _WORD.findall(masked[:200])[:16]
-    if _CJK.search(masked):
-        words = [w for x in words for w in ([x[i : i + 2] for i in range(max(1, len(x) - 1))] if _CJK.search(x) else [x])][:32]
-    grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])] + ([f"^{words[0]}", f"{words[-1]}$"] if words else [])
-    return list(map(_gram, grams))
+
+_CODES = _Codes()
+
+
+def _words(masked: str) -> list[int]:
+    """Hashes of all words of a line, of Chinese of every two characters."""
+    words = _WORD.findall(masked)
+    if not masked.isascii() and _CJK.search(masked):
+        words = [w for x in words for w in ([x[i : i + 2] for i in range(max(1, len(x) - 1))] if _CJK.search(x) else [x])]
+    return list(map(_CODES.__getitem__, words))
+
+
+def _grams(words: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the weights of every line's words, pairs of neighbours, first and last word, and the line of each."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.fromiter((c for w in words for c in w), np.uint64, int(n.sum()))
+    line = np.repeat(np.arange(len(n)), n)
+    end = np.cumsum(n)
+    some = n > 0
+    pair = np.flatnonzero(line[1:] == line[:-1])
+    first, last = code[(end - n)[some]], code[end[some] - 1]
+    held = np.concatenate([code, mix(code[pair] << np.uint64(32) | code[pair + 1]), mix(first ^ np.uint64(1 << 33)), mix(last ^ np.uint64(1 << 34))])
+    return (held & np.uint64((1 << SPACE_BITS) - 1)).astype(np.int64), np.concatenate([line, line[pair], np.flatnonzero(some), np.flatnonzero(some)])
 
 
 def page_lines(text: str, site: re.Pattern | None, features: bool = True) -> list[tuple]:
-    """Of each line that isn't blank: number, shape, hash whole, hash of its start, dense features, grams."""
+    """Of each line that isn't blank: number, shape, hash whole, hash of its start, dense features, hashes of its words."""
     lines = [(n, x.strip()) for n, x in enumerate(text.split("\n"), 1) if x.strip()]
     bullets = [_BULLET.match(x) for _, x in lines]
     bares = [x[m.end() :] if m else x for m, (_, x) in zip(bullets, lines)]
@@ -113,18 +136,18 @@ def page_lines(text: str, site: re.Pattern | None, features: bool = True) -> lis
     for k, ((n, x), bullet, bare, shape) in enumerate(zip(lines, bullets, bares, shapes)):
         masked = site.sub("§", bare) if site else bare
         masked = " ".join(_DIGITS.sub("9", masked).split()).casefold()
-        words = _WORD.findall(masked[:200])
         colon = _COLON.match(masked)
-        start = colon[0] if colon else masked[:5] if _CJK.search(masked) else " ".join(words[:3])
+        start = colon[0] if colon else masked[:5] if not masked.isascii() and _CJK.search(masked) else " ".join(m[0] for m in islice(_WORD.finditer(masked), 3))
         if not features:
             out.append((n, shape, _hash(masked), _hash("^" + start), None, None))
             continue
+        words = _words(masked)
         dense = [
             1.0, float(shape == PARAGRAPH), float(shape == HEADLINE), float(shape == LABEL), float(bool(bullet)), math.log1p(len(x)) / 5, min(_separators(x), 6) / 3,
             float("©" in x), float("§" in masked), float(k == 0), float(k == len(lines) - 1), k / max(1, len(lines) - 1), float(bool(colon)),
             float(k > 0 and shapes[k - 1] == PARAGRAPH), float(k + 1 < len(lines) and shapes[k + 1] == PARAGRAPH), min(len(words), 30) / 15,
         ]
-        out.append((n, shape, _hash(masked), _hash("^" + start), dense, _grams(masked)))
+        out.append((n, shape, _hash(masked), _hash("^" + start), dense, words))
     return out
 
 
@@ -132,9 +155,9 @@ def _rows(frames: Iterator[pd.DataFrame], weights: np.ndarray | None, features:
     """Narrow rows of lines; with weights the share of the score that the text alone gives, else its features, if asked for."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     sites: dict[tuple, re.Pattern | None] = {}
-    own, grams = ([], []) if weights is None else (weights[:DENSE].tolist(), weights[DENSE + STATS :].tolist())
+    own = [] if weights is None else weights[:DENSE].tolist()
     for f in frames:
-        out = []
+        out, said = [], []
         for seq, title, source, host, *texts in zip(f["item_seq"], f["title"], f["source"], f["host"], f["content"], f["fulltext"]):
             site = sites[source, host] if (source, host) in sites else sites.setdefault((source, host), _site(source, host))
             matter = None
@@ -145,9 +168,14 @@ def _rows(frames: Iterator[pd.DataFrame], weights: np.ndarray | None, features:
                 lines = page_lines(text, site, features)
                 shapes = [x[1] for x in lines]
                 for k, (n, shape, whole, start, dense, words) in enumerate(lines):
-                    logit = 0.0 if weights is None else sum(map(mul, own, dense)) + sum(map(grams.__getitem__, words)) / math.sqrt(len(words) + 1)
+                    logit = 0.0 if weights is None else sum(map(mul, own, dense))
+                    said.append(words)
                     out.append((seq, field, n, shape, logit, whole, start, matter, shapes[k - 1] if k else -1, shapes[k + 1] if k + 1 < len(shapes) else -1, dense if weights is None else None, words if weights is None else None))
-        yield pd.DataFrame(out, columns=names)
+        rows = pd.DataFrame(out, columns=names)
+        if weights is not None:
+            at, line = _grams(said)
+            rows["logit"] += np.bincount(line, weights[DENSE + STATS :][at], len(said)) / np.sqrt(np.bincount(line, minlength=len(said)) + 1)
+        yield rows
 
 
 def _stat_features(f: dict) -> list[float]:
@@ -278,9 +306,8 @@ def fit(sample: pd.DataFrame, rounds: int = 400) -> Potentials:
     share = 0.5
     if y:
         x_, y_ = np.array(x), np.array(y, float)
-        n = np.fromiter(map(len, g), np.int64, len(g))
-        row, col = np.repeat(np.arange(len(g)), n), np.fromiter((c for r in g for c in r), np.int64, int(n.sum()))
-        scale = 1 / np.sqrt(n + 1)
+        col, row = _grams(g)
+        scale = 1 / np.sqrt(np.bincount(row, minlength=len(g)) + 1)
         share = float(np.clip(y_.mean(), 0.05, 0.95))
         first, second = np.zeros(size), np.zeros(size)
         for t in range(1, rounds + 1):  # Adam on the whole sample

@@ -3,6 +3,7 @@ import shutil
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,6 +405,23 @@ def test_article_lines_on_held_out_pages(spark):
     assert boilerplate.boilerplate_lines(df.limit(0)).count() == 0
 
 
+def test_lines_are_scored_to_their_end():
+    prose = " ".join(f"word{chr(97 + i % 26)}" for i in range(60))
+    zh = "新闻" * 200
+    for a, b in ((prose + " and then it rained", prose + " subscribe now"), (zh + "今天下雨", zh + "立即订阅")):
+        (*_, x), (*_, y) = boilerplate.page_lines(f"{a}\n{b}", None)
+        assert len(x) > 55 and x != y
+        at, line = boilerplate._grams([x, [], y])
+        assert set(at[line == 0]) != set(at[line == 2]) and 1 not in line and (line == 0).sum() == 2 * len(x) + 1
+        weights = np.zeros(boilerplate.DENSE + boilerplate.STATS + (1 << boilerplate.SPACE_BITS))
+        weights[boilerplate.DENSE + boilerplate.STATS + np.setdiff1d(at[line == 2], at[line == 0])] = 5.0
+        f = pd.DataFrame({"item_seq": [1], "title": ["t"], "source": [None], "host": [None], "content": [f"{a}\n\n{b}"], "fulltext": [None]})
+        (got,) = boilerplate._rows(iter([f]), weights)
+        assert got["logit"][1] > got["logit"][0] == 0.0
+    assert boilerplate.shape_of("x" * 500 + " | a | b | c | d") == boilerplate.LABEL
+    assert list(boilerplate._rows(iter([f.head(0)]), weights))[0].empty
+
+
 def test_messages_equal_enumeration():
     rng = np.random.default_rng(5)
     p = boilerplate.Potentials(np.zeros(1), rng.dirichlet((1, 1), (3, 2)), rng.dirichlet((1, 1), 2), rng.dirichlet((1, 1), 3), 0.4)
