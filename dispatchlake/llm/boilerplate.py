@@ -44,11 +44,11 @@ _CJK = re.compile("[㐀-鿿]")
 _COLON = re.compile(r"[^:：]{3,40}[:：]")
 #: A line that a break in a sentence left: it ends after an initial, or holds one word and a full stop.
 _INITIAL = re.compile(r"(?:^|\s)[^\W\d_]\.$|^[^\W\d_]+\.$")
-SCHEMA = (
-    "item_seq long, field string, line int, shape int, logit float, whole long, start long, matter long, prev int, next int, dense array<float>, words array<long>"
-)
+SCHEMA = "item_seq long, field string, line int, shape int, logit float, whole long, start long, dense array<float>, words array<long>"
 DENSE = 16
 STATS = 6
+#: Of a line: how often it stands, on pages of how many matters, how often between paragraphs, and how many matters so many pages have.
+COUNTS = ("n", "matters", "mid", "many")
 
 
 def _hash(text: str) -> int:
@@ -151,26 +151,51 @@ def page_lines(text: str, site: re.Pattern | None, features: bool = True) -> lis
     return out
 
 
-def _rows(frames: Iterator[pd.DataFrame], weights: np.ndarray | None, features: bool = True) -> Iterator[pd.DataFrame]:
-    """Narrow rows of lines; with weights the share of the score that the text alone gives, else its features, if asked for."""
+def _texts(f: pd.DataFrame, sites: dict[tuple, re.Pattern | None]) -> Iterator[tuple]:
+    """Of each item its number, title, site and the texts that have several lines."""
+    for seq, title, source, host, *texts in zip(f["item_seq"], f["title"], f["source"], f["host"], f["content"], f["fulltext"]):
+        site = sites[source, host] if (source, host) in sites else sites.setdefault((source, host), _site(source, host))
+        yield seq, title, source, site, [(field, text) for field, text in zip(("content", "fulltext"), texts) if text and "\n" in text.strip()]
+
+
+def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each page the hashes of its lines and their beginnings, how often it has them, and how often between paragraphs."""
+    sites: dict[tuple, re.Pattern | None] = {}
+    for f in frames:
+        out: tuple[list[int], ...] = ([], [], [], [], [])
+        for _, title, source, site, texts in _texts(f, sites):
+            held: dict[int, list[int]] = {}
+            for _, text in texts:
+                lines = page_lines(text, site, False)
+                shapes = [x[1] for x in lines]
+                for k, (_, _, whole, start, _, _) in enumerate(lines):
+                    mid = 0 < k < len(shapes) - 1 and shapes[k - 1] == shapes[k + 1] == PARAGRAPH
+                    for key in (whole, start):
+                        n = held.setdefault(key, [0, 0])
+                        n[0] += 1
+                        n[1] += mid
+            if held:
+                out[0].extend(held)
+                out[1].extend([_matter(title)] * len(held))
+                out[2].extend([_hash("\0".join((title or "", source or "", *(f"{field}\0{text}" for field, text in texts))))] * len(held))
+                out[3].extend(n for n, _ in held.values())
+                out[4].extend(mid for _, mid in held.values())
+        yield pd.DataFrame(dict(zip(("key", "matter", "page", "n", "mid"), out)))
+
+
+def _rows(frames: Iterator[pd.DataFrame], weights: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    """Narrow rows of lines; with weights the share of the score that the text alone gives, else its features."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     sites: dict[tuple, re.Pattern | None] = {}
     own = [] if weights is None else weights[:DENSE].tolist()
     for f in frames:
         out, said = [], []
-        for seq, title, source, host, *texts in zip(f["item_seq"], f["title"], f["source"], f["host"], f["content"], f["fulltext"]):
-            site = sites[source, host] if (source, host) in sites else sites.setdefault((source, host), _site(source, host))
-            matter = None
-            for field, text in zip(("content", "fulltext"), texts):
-                if not text or "\n" not in text.strip():
-                    continue
-                matter = _matter(title) if matter is None else matter
-                lines = page_lines(text, site, features)
-                shapes = [x[1] for x in lines]
-                for k, (n, shape, whole, start, dense, words) in enumerate(lines):
+        for seq, _, _, site, texts in _texts(f, sites):
+            for field, text in texts:
+                for n, shape, whole, start, dense, words in page_lines(text, site):
                     logit = 0.0 if weights is None else sum(map(mul, own, dense))
                     said.append(words)
-                    out.append((seq, field, n, shape, logit, whole, start, matter, shapes[k - 1] if k else -1, shapes[k + 1] if k + 1 < len(shapes) else -1, dense if weights is None else None, words if weights is None else None))
+                    out.append((seq, field, n, shape, logit, whole, start, dense if weights is None else None, words if weights is None else None))
         rows = pd.DataFrame(out, columns=names)
         if weights is not None:
             at, line = _grams(said)
@@ -178,12 +203,24 @@ def _rows(frames: Iterator[pd.DataFrame], weights: np.ndarray | None, features:
         yield rows
 
 
+def expected_matters(titles: pd.DataFrame, pages: np.ndarray) -> np.ndarray:
+    """Different matters that so many pages have if taken at random; ``titles``: of how many matters (of) as many titles (count) are.
+
+    Titles share words, so the matters of many pages are ever fewer than the pages.
+    """
+    count, of = titles["count"].to_numpy(float), titles["of"].to_numpy(float)
+    n = max(1.0, (count * of).sum())
+    grid = np.geomspace(1, n, 200) if n > 1 else np.ones(1)
+    many = np.array([(of * (1 - (1 - min(1.0, x / n)) ** count)).sum() for x in grid]) if len(of) else np.ones(1)
+    return np.maximum(1.0, np.exp(np.interp(np.log(pages), np.log(grid), np.log(many))))
+
+
 def _stat_features(f: dict) -> list[float]:
     """Features of how a line and its beginning recur."""
     out = []
     for k in ("w", "s"):
-        n, matters, mid = (f[f"{k}_{c}"] or 0 for c in ("n", "matters", "mid"))
-        out += [math.log1p(matters), matters / n if n else 0.0, mid / n if n else 0.0]
+        n, matters, mid, many = (f[f"{k}_{c}"] or 0 for c in COUNTS)
+        out += [math.log1p(matters), matters / many if n else 0.0, mid / n if n else 0.0]
     return out
 
 
@@ -259,7 +296,7 @@ def _label(page: pd.DataFrame) -> list[int | None]:
     """1: not the article, 0: the article, None: left open."""
     out: list[int | None] = []
     rows = page.to_dict("records")
-    recurs = lambda r, k: (r[k + "_matters"] or 0) >= MATTERS and (r[k + "_matters"] or 0) >= 0.3 * (r[k + "_n"] or 1)
+    recurs = lambda r, k: (r[k + "_matters"] or 0) >= MATTERS and (r[k + "_matters"] or 0) >= 0.3 * (r[k + "_many"] or 1)
     parts = lambda r, k: (r[k + "_n"] or 0) >= 3 and (r[k + "_mid"] or 0) >= 0.9 * r[k + "_n"]
     for n, r in enumerate(rows):
         if r["shape"] == LABEL and (parts(r, "w") or parts(r, "s")):
@@ -322,7 +359,7 @@ def fit(sample: pd.DataFrame, rounds: int = 400) -> Potentials:
 
 def _with_stats(lines: DataFrame, stats: DataFrame) -> DataFrame:
     for column, k in (("whole", "w"), ("start", "s")):
-        own = stats.select(F.col("key").alias(column), F.col("n").alias(k + "_n"), F.col("matters").alias(k + "_matters"), F.col("mid").alias(k + "_mid"))
+        own = stats.select(F.col("key").alias(column), *(F.col(c).alias(f"{k}_{c}") for c in COUNTS))
         lines = lines.join(own, column, "left")
     return lines
 
@@ -334,22 +371,24 @@ def boilerplate_lines(pages: DataFrame) -> DataFrame:
     article. Null, empty and one-line texts have no rows. Rows repeated under one item_seq count once; other columns
     are ignored.
     """
+    titles = pages.select("title").distinct()
     pages = pages.select("item_seq", "title", "source", "host", "content", "fulltext").where("content like '%\\n%' or fulltext like '%\\n%'")
-    plain = pages.mapInPandas(lambda f: _rows(f, None, False), SCHEMA)
-    middle = ((F.col("prev") == PARAGRAPH) & (F.col("next") == PARAGRAPH)).cast("int").alias("mid")
-    keys = plain.select(F.explode(F.array("whole", "start")).alias("key"), "matter", middle)
-    stats = cut(
-        keys.groupBy("key", "matter").agg(F.count("*").alias("n"), F.sum("mid").alias("mid"))
-        .groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("matters"), F.sum("mid").alias("mid")).where("n > 1")
-    )
+    titles = titles.mapInPandas(lambda frames: (pd.DataFrame({"matter": [_matter(t) for t in f["title"]]}, dtype="int64") for f in frames), "matter long")
+    titles = titles.groupBy("matter").count().groupBy("count").agg(F.count("*").alias("of")).toPandas()  # one row a different count
+    # Copies of a page tell nothing that it doesn't, so they count once.
+    each = pages.mapInPandas(_keys, "key long, matter long, page long, n int, mid int").dropDuplicates(["key", "page"])
+    each = each.groupBy("key", "matter").agg(F.sum("n").alias("n"), F.sum("mid").alias("mid"), F.count("*").alias("pages"))
+    each = each.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("matters"), F.sum("mid").alias("mid"), F.sum("pages").alias("pages")).where("n > 1")
+    many = lambda frames: (f.assign(many=expected_matters(titles, f["pages"].to_numpy(float)))[["key", *COUNTS]] for f in frames)
+    stats = cut(each.mapInPandas(many, "key long, n long, matters long, mid long, many double"))
     # Two texts an item at most; the ids are chosen without the texts, and there are no more of them than the bound.
     chosen = pages.select("item_seq").orderBy(F.xxhash64("item_seq", F.lit(11)), "item_seq").limit(TRAIN_PAGES // 2).distinct()
     some = pages.join(F.broadcast(chosen), "item_seq", "left_semi")
     sample = _with_stats(some.mapInPandas(lambda f: _rows(f, None), SCHEMA), stats)
-    counts = [f"{k}_{c}" for k in "ws" for c in ("n", "matters", "mid")]
+    counts = [f"{k}_{c}" for k in "ws" for c in COUNTS]
     fitted = fit(sample.fillna(0, counts).toPandas())
     kept = pages.sparkSession.sparkContext.broadcast(fitted)
-    lines = pages.mapInPandas(lambda f: _rows(f, kept.value.weights), SCHEMA).drop("matter", "prev", "next", "dense", "words")
+    lines = pages.mapInPandas(lambda f: _rows(f, kept.value.weights), SCHEMA).drop("dense", "words")
     line = F.struct("line", "shape", "logit", *counts)
     whole = _with_stats(lines, stats).fillna(0, counts).groupBy("item_seq", "field").agg(F.sort_array(F.collect_set(line)).alias("lines"))
 

@@ -405,6 +405,19 @@ def test_article_lines_on_held_out_pages(spark):
     assert boilerplate.boilerplate_lines(df.limit(0)).count() == 0
 
 
+def test_copies_of_pages_hide_no_line(spark):
+    """Neither copies nor a corpus whose titles share their words make recurring lines look like one matter's."""
+    pages, truth = site_pages(60, 2)
+    df = spark.createDataFrame([(k * 1000 + p[0], *p[1:]) for k in range(15) for p in pages], "item_seq long, title string, source string, host string, content string, fulltext string")
+    got = {(r.item_seq, r.line_no): r.p > 0.5 for r in boilerplate.boilerplate_lines(df).collect()}
+    assert set(got) == {(k * 1000 + i, n) for k in range(15) for i, n in truth}
+    assert sum(got[k] == bool(truth[k[0] % 1000, k[1]]) for k in got) >= 0.97 * len(got)
+    titles = pd.DataFrame({"count": [1, 5000], "of": [10, 3]})
+    few, many = boilerplate.expected_matters(titles, np.array([1.0, 15010.0]))
+    assert abs(few - 1) < 1e-6 and abs(many - 13) < 1e-6 and 2.9 < boilerplate.expected_matters(titles, np.array([1000.0]))[0] < 4
+    assert (boilerplate.expected_matters(titles.head(0), np.array([7.0])) == 1).all()
+
+
 def test_lines_are_scored_to_their_end():
     prose = " ".join(f"word{chr(97 + i % 26)}" for i in range(60))
     zh = "新闻" * 200
