@@ -1,16 +1,17 @@
 """Deduplicating new batches against all history.
 
 A store in a folder holds, batch by batch, the keys of all items and their profiles; it can be closed and opened again.
-Keys are addresses, fingerprints of title and content, and winnowed fingerprints of runs of words. A new batch is read
-once; Bloom filters, one for each part of the keys, screen its keys, only the parts that are hit are looked up, and of
-the profiles only the ranges that hold a candidate are read. No text of history is read again: a profile holds hashes of
-the words, which is all that verification needs.
-
-A pair is a candidate if it shares enough of the fingerprints that at most HOT different texts hold, whichever texts
-hold them. Fingerprints that more hold (notices, menus) tell little; texts that have few others are joined on threes of
-their rarest words besides: two texts that differ in at most DIFFER of their words share three of the first DIFFER + 3
-in any fixed order of words, so none is lost and no pair of one common line is formed. Copies of one text are linked
-to the first and looked up as one.
+Keys are addresses, fingerprints of title and content, and rare words. A new batch is read once; Bloom filters, one for
+each part of the keys, screen its keys, only the parts that are hit are looked up, and of the profiles only the ranges
+that hold a candidate are read. No text of history is read again: a profile holds hashes of the words, which is all that
+verification needs.
+
+Two texts that differ in at most DIFFER of their words share MOST of their first words in any fixed order of words, if
+each text gives the share that may differ and MOST more. The order is by how common words are in the first batch and
+stays with the store. Words that at most HOT texts give lead to all their pairs. If a pair shares no such word, then all
+that it shares among the first are held by more, so threes of those are joined. No pair is lost and none has to share a
+place. Bits of a text's words, whose differences are never more than those of the words, leave few pairs to verify.
+Copies of one text are linked to the first and looked up as one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import gc
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,33 +32,28 @@ from pyspark.sql import functions as F
 from dispatchlake.functions.ids import content_fingerprint, normalized_url
 from dispatchlake.functions.tables import Scratch, cut, file_system, remove, shared_folder, table
 from dispatchlake.llm import components, residue, vectors
-from dispatchlake.llm.hashing import mix, sliding_min
+from dispatchlake.llm.hashing import mix
 from dispatchlake.llm.lookalike import skeleton
 
 #: Share of the words (characters for zh) in which two texts may differ.
 DIFFER = 0.15
 COSINE = 0.98
-#: Words in a fingerprinted run and in the window that must hold a chosen one; texts under SHORT keep all runs.
-RUN, WINDOW, SHORT = {False: 5, True: 8}, 6, 60
-#: Shorter runs that zh texts have besides.
-ZH_RUN = 5
-#: Up to so many words (characters for zh) the run is what DIFFER must leave whole; beyond it is never under RUN.
-BRIEF = 22
-#: Different texts that may hold a fingerprint for all its pairs to be candidates.
-HOT = 16
-#: Part of a text's other fingerprints that a candidate must share.
-COVERAGE = 0.10
-#: Texts with fewer other fingerprints than this are asked for by their rarest words as well.
-FEW = 16
-#: Of their rarest words so many are asked for together, and two in texts of LONG words and more.
+#: Texts that may give a word for all its pairs to be looked at.
+HOT = 16_384
+#: Of the words that more texts give so many are asked for together, and two in texts of LONG words and more.
 MOST, LONG = 3, 100
+#: Texts from which the order of words is taken, about, and words that have a place of their own in it; any order is right.
+ORDER_TEXTS, ORDER_WORDS = 20_000, 1 << 17
+#: Columns of a text's bits.
+PLACES = ("a", "b", "c", "d")
+#: Rows and pairs that are looked at together.
+ROWS, PAIRS = 250_000, 1_000_000
 #: Keys of one Bloom filter, about; a batch has a power of two of them. And bits for each key.
 FILTER_KEYS, BITS = 500_000, 12
 #: Profiles are kept in ranges of so many item_seq.
 RANGE = 1 << 18
 _CJK = re.compile("[㐀-鿿豈-﫿]")
 _SPACE = re.compile(r"\s+")
-_DIGIT = re.compile(r"\d")
 
 
 def pieces(title: str | None, content: str | None, lang: str | None) -> tuple[list[str], bool]:
@@ -68,39 +64,20 @@ def pieces(title: str | None, content: str | None, lang: str | None) -> tuple[li
     return text.split(), False
 
 
-def _run_left(n: int) -> int:
-    """Words of the longest run that edits of DIFFER leave in n words, wherever words are taken out, put in or replaced."""
-    e = int(DIFFER * n + 1e-9)
-    return -(-(n - e) // (2 * e + 1))
-
-
 def _hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
-def _runs(h: np.ndarray, characters: bool, run: int) -> np.ndarray:
-    k = min(run, len(h))
-    n = len(h) - k + 1
-    total = np.zeros(n, np.uint64)
-    for i in range(k):
-        total = mix(total ^ h[i : i + n])
-    return total if len(h) < SHORT * (1 + 2 * characters) else sliding_min(total, min(WINDOW * (1 + characters), n))
+Order = tuple[np.ndarray, np.ndarray]
+_NO_ORDER = (np.zeros(1, np.uint32), np.zeros(1, np.int64))
 
 
-def fingerprints(words: list[str], characters: bool, h: np.ndarray | None = None) -> np.ndarray:
-    """Winnowed hashes of runs of words; each once. Brief texts have all runs for each length that the longer text of a pair may have."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = _hashes(words) if h is None else h
-    out = [_runs(h, characters, RUN[characters])]
-    if characters and len(words) >= 20:
-        out.append(_runs(h, characters, ZH_RUN))
-    for n in range(len(words), min(BRIEF, int(len(words) / (1 - DIFFER) + 1e-9)) + 1):
-        e = int(DIFFER * n + 1e-9)
-        for k in {_run_left(n), -(-(n - e) // (e + 1))}:
-            runs = ("\0".join((str(n), *words[i : i + k])) for i in range(len(words) - k + 1))
-            out.append(np.array([xxhash.xxh64_intdigest(r.encode("utf8", "surrogatepass")) for r in runs], np.uint64))
-    return np.unique(np.concatenate(out))
+def fingerprints(words: list[str], characters: bool, h: np.ndarray | None = None, order: Order = _NO_ORDER) -> np.ndarray:
+    """The first words (characters alike) in the order, each with its count, of which any text within DIFFER shares MOST, or all it has."""
+    h = (counted(_hashes(words)) if h is None else h).astype(np.uint32)
+    at = np.searchsorted(order[0], h).clip(max=len(order[0]) - 1)
+    common = np.where(order[0][at] == h, order[1][at], 0)
+    return h[np.lexsort((h, common))][: int(DIFFER * len(h) + 1e-9) + MOST]
 
 
 def distance(a: list[str], b: list[str]) -> float:
@@ -120,21 +97,6 @@ def counted(h: np.ndarray) -> np.ndarray:
     return mix(h + nth * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _rarest(words: list[str], characters: bool, h: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``each`` with the likely rarest words first, and those that any text within DIFFER shares MOST of (of Chinese, runs of three)."""
-    most = int(DIFFER * len(words) + 1e-9)
-    if characters:
-        return each, np.unique(_three(h))[: 3 * most + MOST]
-    digits = np.fromiter((bool(_DIGIT.search(w)) for w in words), bool, len(words))
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    each = each[np.lexsort((each, -size, ~digits))]
-    return each, each[: most + MOST] & np.uint64(0xFFFFFFFF)
-
-
-def _three(h: np.ndarray) -> np.ndarray:
-    return h if len(h) < 3 else mix(mix(mix(h[:-2]) ^ h[1:-1]) ^ h[2:])
-
-
 def _size(n: int) -> int:
     return int(np.floor(np.log(n) / -np.log(1 - DIFFER)))
 
@@ -148,33 +110,83 @@ def _combined(words: str, k: int) -> str:
     return f"CASE WHEN size({words}) < {k} THEN array() ELSE flatten(transform(sequence(1, size({words}) - {k - 1}), {v} -> transform({rest}, x{k} -> xxhash64(element_at({words}, {v}), x{k})))) END"
 
 
-_PROFILE = "seq long, n int, words array<int>, keys array<long>, rare array<long>, text long, exact array<long>"
+_PROFILE = "seq long, n int, words array<int>, rare array<long>, a long, b long, c long, d long, text long, exact array<long>"
+
 
+def _bits(h: np.ndarray) -> np.ndarray:
+    """256 bits: which places an odd number of words has; two texts differ in no more places than words."""
+    return np.packbits(np.bincount((h >> np.uint64(32) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each item its words, fingerprints and rarest words as hashes, and the hash of its whole text."""
+
+def _profiles(order: Order) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each item its words and its first in the order as hashes, its bits, and the hash of its whole text."""
 
     def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
-        flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+        flat = np.concatenate(parts) if parts else np.zeros(0, kind)
         return pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32), pa.array(flat.astype(kind)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 2000):
+                part = b.slice(i, 2000)
+                seqs, titles, contents, langs = (part.column(j).to_pylist() for j in range(4))
+                words, rare, bits, texts, n = [], [], [], [], []
+                for t, c, g in zip(titles, contents, langs):
+                    w, characters = pieces(t, c, g)
+                    h = _hashes(w)
+                    each = counted(h)
+                    words.append(each)
+                    rare.append(fingerprints(w, characters, each, order))
+                    bits.append(_bits(each))
+                    texts.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
+                    n.append(len(w))
+                bits = np.array(bits, np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seqs, pa.int64()), pa.array(n, pa.int32()), lists(words, np.int32), lists(rare), *(pa.array(x.copy()) for x in bits.T), pa.array(texts, pa.int64()), part.column(4)],
+                    names=["seq", "n", "words", "rare", *PLACES, "text", "exact"],
+                )
+
+    return run
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of each batch hold a word."""
     for b in batches:
-        for i in range(0, len(b), 2000):
-            part = b.slice(i, 2000)
-            seqs, titles, contents, langs = (part.column(j).to_pylist() for j in range(4))
-            words, keys, rare, texts, n = [], [], [], [], []
-            for t, c, g in zip(titles, contents, langs):
-                w, characters = pieces(t, c, g)
-                h = _hashes(w)
-                each, first = _rarest(w, characters, h, counted(h))
-                words.append(each)
-                keys.append(fingerprints(w, characters, h))
-                rare.append(first)
-                texts.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
-                n.append(len(w))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seqs, pa.int64()), pa.array(n, pa.int32()), lists(words, np.int32), lists(keys), lists(rare), pa.array(texts, pa.int64()), part.column(4)], names=["seq", "n", "words", "keys", "rare", "text", "exact"]
-            )
+        h = [counted(_hashes(pieces(*x)[0])).astype(np.uint32) for x in zip(*(b.column(j).to_pylist() for j in range(3)))]
+        word, held = np.unique(np.concatenate([np.zeros(0, np.uint32), *h]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(held.astype(np.int64))], names=["word", "held"])
+
+
+def _differ(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Words, at most, that are in one of two texts of n and m words only."""
+    return n + m - 2 * (1 - DIFFER) * np.maximum(n, m) + 1e-6
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, first) of all pairs of a new text and another that give a word, but those whose sizes or bits differ too much."""
+    if not (parts := list(batches)):
+        return
+    rows = pa.Table.from_batches(parts)
+    key, n, seq, new, *bits = (rows[c].to_numpy() for c in ("key", "n", "seq", "new", *PLACES))
+    by = np.lexsort((seq, n, key))
+    key, n, seq, new, *bits = (x[by] for x in (key, n.astype(np.int64), seq, new, *(x.view(np.uint64) for x in bits)))
+    group = np.cumsum(np.append(0, key[1:] != key[:-1])) << 32
+    place, every = group + n, np.arange(len(key))
+    end = np.searchsorted(place, group + np.floor(n / (1 - DIFFER) + 1e-6).astype(np.int64), "right")
+    begin = every + 1 if new.all() else np.searchsorted(place, group + np.ceil(n * (1 - DIFFER) - 1e-6).astype(np.int64))
+    size = np.where(new, end - begin, 0)
+    upto = np.cumsum(size)
+    cuts = np.unique(np.append(np.searchsorted(upto, np.arange(PAIRS, upto[-1], PAIRS)), len(size)))
+    for start, stop in zip(np.append(0, cuts[:-1]), cuts):
+        i = np.repeat(every[start:stop], size[start:stop])
+        j = np.arange(len(i)) - np.repeat(upto[start:stop] - size[start:stop] - (upto[start - 1] if start else 0), size[start:stop]) + begin[i]
+        left = _differ(n[i], n[j])
+        for x in bits:
+            left = left - np.bitwise_count(x[i] ^ x[j])
+            i, j, left = i[left >= 0], j[left >= 0], left[left >= 0]
+        near = (seq[i] != seq[j]) & (~new[j] | (j > i))
+        pair = np.unique(np.stack([np.maximum(seq[i[near]], seq[j[near]]), np.minimum(seq[i[near]], seq[j[near]])]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["seq", "first"])
 
 
 class _Filter:
@@ -204,11 +216,14 @@ class _Filter:
         return out
 
 
-def _build(f: pd.DataFrame) -> pd.DataFrame:
-    keys = f["key"].drop_duplicates().to_numpy()
-    b = _Filter.sized(len(keys))
-    b.add(keys)
-    return pd.DataFrame({"parts": f["parts"].iloc[:1], "part": f["part"].iloc[:1], "bits": [b.bits.tobytes()]})
+def _build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A filter of each part among the rows of a task."""
+    rows = [f.drop_duplicates() for f in frames]
+    for (parts, part), f in pd.concat(rows).groupby(["parts", "part"]) if rows else ():
+        keys = f["key"].drop_duplicates().to_numpy()
+        b = _Filter.sized(len(keys))
+        b.add(keys)
+        yield pd.DataFrame({"parts": [parts], "part": [part], "bits": [b.bits.tobytes()]})
 
 
 def _screen(key: tuple, keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
@@ -267,19 +282,19 @@ class History:
         """Rows by part of their key, and the parts' Bloom filters."""
         rows = rows.withColumn("part", F.pmod("key", F.lit(parts)).cast("int")).repartition("part")
         kept = self._write(rows, name, "part")
-        self._write(kept.select("key", "part", F.lit(parts).alias("parts")).groupBy("part").applyInPandas(_build, "parts int, part int, bits binary"), f"{name}_filters")
+        self._write(kept.select("key", "part", F.lit(parts).alias("parts")).mapInPandas(_build, "parts int, part int, bits binary"), f"{name}_filters")
 
     def add(self, items: DataFrame, left_out: DataFrame) -> DataFrame:
         """Links (seq, first) of each new item to earlier ones, of the store or its own batch; then the batch is stored.
 
         ``items``: item_seq, title, content, lang, url, with item_seq above those in the store. Items whose item_seq is
-        in ``left_out`` have no keys. The work follows the batch, but that holders of its hot fingerprints are read.
+        in ``left_out`` have no keys. The work follows the batch, but that holders of its words that many give are read.
         """
         scratch = Scratch(self.spark)
         address = F.when(F.trim("url") != "", F.concat(F.lit("u"), normalized_url(F.col("url"))))
         story = F.concat(F.lit("c"), content_fingerprint(F.col("title"), F.col("content")))
         exact = F.array(*(f for x in (address, story) for f in (F.when(x.isNotNull(), F.xxhash64(x)), F.when(x.isNotNull(), F.xxhash64(F.lit(9), x)))))
-        made = items.select("item_seq", "title", "content", "lang", exact.alias("exact")).mapInArrow(_profiles, _PROFILE)
+        made = items.select("item_seq", "title", "content", "lang", exact.alias("exact")).mapInArrow(_profiles(self._order(items)), _PROFILE)
         mine = self._write(made.withColumn("range", F.floor(F.col("seq") / RANGE).cast("int")), "profiles", "range")
 
         kept = mine.join(left_out.select(F.col("item_seq").alias("seq")).distinct(), "seq", "left_anti")  # without a shuffle of texts
@@ -293,36 +308,27 @@ class History:
         before = scratch.keep(self._found("exact", schema, firsts.select("key").distinct()).select("key", "check", "first"))
         least = firsts.unionByName(before).groupBy("key", "check").agg(F.min("first").alias("first"))
         links = scratch.keep(same.join(least, ["key", "check"]).where("first < seq").select("seq", "first", "whole"))
+        _let_go(self.spark)
 
-        # What is near: different texts by their fingerprints.
-        texts = kept.select("seq", "n", "keys").join(links.where("whole").select("seq"), "seq", "left_anti")
-        keys = texts.select(F.explode("keys").alias("key"), "seq", "n", F.size("keys").alias("of"))
-        schema = "key long, seq long, n int, of int, part int"
-        every = keys.withColumn("new", F.lit(True)).unionByName(self._found("holders", schema, keys.select("key").distinct()).drop("part").withColumn("new", F.lit(False)))
+        # What is near: different texts by their first words in the order.
+        texts = kept.join(links.where("whole").select("seq"), "seq", "left_anti")
+        # How many words the text gives after this one; texts of fewer than MOST give all for any number together.
+        after = F.when(F.size("rare") < MOST, F.lit(MOST)).otherwise(F.size("rare") - F.col("pos") - 1).cast("int")
+        keys = texts.select("seq", "n", *PLACES, "rare", F.posexplode("rare").alias("pos", "key")).select("key", "seq", "n", *PLACES, after.alias("after"))
+        schema = "key long, seq long, n int, a long, b long, c long, d long, after int, part int"
+        asked = scratch.keep(keys.select("key").distinct()) if self.parts else keys
+        every = keys.withColumn("new", F.lit(True)).unionByName(self._found("holders", schema, asked).drop("part").withColumn("new", F.lit(False)))
         if self.parts:
             every = scratch.keep(every)
-        counts = scratch.keep(every.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"))
-        hot = every.join(counts.where(f"held > {HOT}").select("key"), "key", "left_semi").groupBy("seq", "new").agg(F.count("*").alias("hot"), F.first("of").alias("of"), F.first("n").alias("n"))
-        hot = scratch.keep(hot)
-        cold = every.join(counts.where(f"held <= {HOT}").select("key"), "key")
-        near = f"seq > first and n_first >= {1 - DIFFER - 1e-9} * n and n >= {1 - DIFFER - 1e-9} * n_first"
-        first = lambda df: df.select(*(c for c in df.columns if c not in ("seq", "n", "of", "new")), F.col("seq").alias("first"), F.col("n").alias("n_first"))
-        shared = cold.where("new").join(first(cold), "key").where(near).groupBy("seq", "first").agg(F.count("*").alias("same"), F.first("of").alias("of"))
-        pairs = shared.join(hot.select("seq", "hot"), "seq", "left").where(f"same >= floor({COVERAGE} * (of - coalesce(hot, 0)))").select("seq", "first")
-        # A partner of a text with few other fingerprints has not many more.
-        few = hot.where(f"of - hot < if(new, {FEW}, {2 * FEW})").select("seq", "new")
-        size = F.floor(F.log(F.greatest("n", F.lit(1))) / -np.log(1 - DIFFER)).cast("int")  # texts within DIFFER have neighbouring sizes
-        word = scratch.keep(self._profiles_of(few, mine).select("seq", "new", "n", size.alias("size"), F.size("rare").alias("rares"), F.posexplode("rare").alias("pos", "word")))
-        together = F.when(F.col("size") < _size(2), 1).when((F.col("size") < _size(3)) | (F.col("size") > _size(LONG)), 2).otherwise(MOST)
-        enough = (F.col("rares") < MOST) | (F.col("pos") < F.col("rares") - MOST + together)
-        asks = word.where("new").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).where(enough)
-        # Only words that another text asks for, or holds, can be part of what two have in common.
-        others = lambda df, by: df.join(by.groupBy("word", "size").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")), ["word", "size"]).where("lo <> seq or hi <> seq").drop("lo", "hi")
-        held = scratch.keep(others(word.where(enough), asks))
-        asks = others(asks, held)
-        threes = lambda df: df.groupBy("seq", "new", "n", "size").agg(F.sort_array(F.collect_set("word")).alias("w")).select("seq", "new", "n", "size", F.explode(F.when(together == 1, F.col("w")).when(together == 2, F.expr(_combined("w", 2))).otherwise(F.expr(_combined("w", 3)))).alias("key"))
-        rare, asks = threes(held), threes(asks).drop("new")
-        pairs = pairs.unionByName(asks.join(first(rare), ["key", "size"]).where(near).select("seq", "first"))
+            _let_go(self.spark)
+        given = mine.agg(F.sum(F.size("rare"))).first()[0] or 0
+        hot = scratch.keep(every.groupBy("key").agg(F.count("*").alias("held")).where(f"held > {HOT}").select("key"))
+        _let_go(self.spark)
+        parts = 1 + (every.count() if self.parts else given) // ROWS
+        pairs = scratch.keep(every.join(hot, "key", "left_anti").repartition(parts, "key").mapInArrow(_meet, "seq long, first long"))
+        _let_go(self.spark)
+        if not hot.isEmpty():
+            pairs = pairs.unionByName(self._together(scratch, every.join(hot, "key", "left_semi")))
         pairs = scratch.keep(pairs.distinct())
         used = pairs.select("seq", F.lit(True).alias("new")).unionByName(pairs.select(F.col("first").alias("seq"), F.lit(True).alias("new"))).distinct()
         words = scratch.keep(self._profiles_of(used, mine).select("seq", "n", "words"))
@@ -331,8 +337,8 @@ class History:
         near = both.where(1 - common / F.greatest("n", "n_first", F.lit(1)) <= DIFFER).select("seq", "first")
         links = self._write(links.select("seq", "first").unionByName(near).distinct(), "links")
 
-        size = max(16, mine.agg(F.sum(F.size("keys"))).first()[0] or 0) // FILTER_KEYS
-        parts = 1 << max(4, size.bit_length())
+        _let_go(self.spark)
+        parts = 1 << max(4, (given // FILTER_KEYS).bit_length())
         self._keep(keys, "holders", parts)
         self._keep(firsts.join(before.select("key", "check"), ["key", "check"], "left_anti"), "exact", parts)
         remove(self.spark, scratch.path)
@@ -342,9 +348,37 @@ class History:
         _let_go(self.spark)
         return links
 
+    def _together(self, scratch: Scratch, hot: DataFrame) -> DataFrame:
+        """(seq, first) of the pairs that share MOST of their words that many texts give."""
+        size = F.floor(F.log(F.greatest("n", F.lit(1))) / -np.log(1 - DIFFER)).cast("int")  # texts within DIFFER have neighbouring sizes
+        word = scratch.keep(hot.withColumnRenamed("key", "word").withColumn("size", size))
+        together = F.when(F.col("size") < _size(2), 1).when((F.col("size") < _size(3)) | (F.col("size") > _size(LONG)), 2).otherwise(MOST)
+        enough = F.col("after") >= MOST - together
+        asks = word.where("new").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).where(enough)
+        # Only words that another text asks for, or holds, can be part of what two have in common.
+        others = lambda df, by: df.join(by.groupBy("word", "size").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")), ["word", "size"]).where("lo <> seq or hi <> seq").drop("lo", "hi")
+        held = scratch.keep(others(word.where(enough), asks))
+        asks = others(asks, held)
+        by = ["seq", "n", *PLACES, "size"]
+        threes = lambda df: df.groupBy(*by).agg(F.sort_array(F.collect_set("word")).alias("w")).select(*by, F.explode(F.when(together == 1, F.col("w")).when(together == 2, F.expr(_combined("w", 2))).otherwise(F.expr(_combined("w", 3)))).alias("key"))
+        first = threes(held).select("key", "size", *(F.col(c).alias(f"{c}_first") for c in ("n", *PLACES)), F.col("seq").alias("first"))
+        near = f"seq > first and {' + '.join(f'bit_count({c} ^ {c}_first)' for c in PLACES)} <= n + n_first - {2 * (1 - DIFFER)} * greatest(n, n_first) + 1e-6"
+        sizes = f"n_first >= {1 - DIFFER - 1e-9} * n and n >= {1 - DIFFER - 1e-9} * n_first"
+        return threes(asks).join(first, ["key", "size"]).where(f"{near} and {sizes}").select("seq", "first").distinct()
+
+    def _order(self, items: DataFrame) -> Order:
+        """Words and how many texts hold them, of a part of the store's first batch; of the others none is known."""
+        at = f"{self.path}/order"
+        if not self.parts:
+            some = items.where(F.pmod(F.xxhash64("item_seq", F.lit(5)), F.lit(max(1, items.count() // ORDER_TEXTS))) == 0)
+            words = some.select("title", "content", "lang").mapInArrow(_counts, "word long, held long").groupBy("word").agg(F.sum("held").alias("held"))
+            words.where("held > 1").orderBy(F.desc("held"), "word").limit(ORDER_WORDS).write.mode("overwrite").parquet(at)
+        rows = self.spark.read.schema("word long, held long").parquet(at).toArrow().sort_by("word")  # at most ORDER_WORDS
+        return (rows["word"].to_numpy().astype(np.uint32), rows["held"].to_numpy()) if len(rows) else _NO_ORDER
+
     def _profiles_of(self, wanted: DataFrame, mine: DataFrame) -> DataFrame:
         """Profiles of the wanted items (seq, new), read only from the ranges of earlier batches that hold one."""
-        schema = "seq long, n int, words array<int>, keys array<long>, rare array<long>, text long, exact array<long>, range int"
+        schema = "seq long, n int, words array<int>, rare array<long>, a long, b long, c long, d long, text long, exact array<long>, range int"
         ranges = [r["range"] for r in wanted.select(F.floor(F.col("seq") / RANGE).cast("int").alias("range")).distinct().toLocalIterator()]  # one number a range
         old = self._old("profiles", schema, dict.fromkeys(range(len(self.parts)), ranges), "range")
         return old.unionByName(mine.select(*old.columns)).join(wanted, "seq")
@@ -376,7 +410,8 @@ def repeats(items: DataFrame, vecs: DataFrame, path: str | None = None) -> DataF
     store, old = History(spark, path or f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"), F.col("batch_no") == 0
     bad = cut(residue.residue(items).where("field = 'content'").select("item_seq").distinct())
     _let_go(spark)
-    store.add(items.where(old), bad)
+    if not items.where(old).isEmpty():  # the order of words is that of the first batch
+        store.add(items.where(old), bad)
     store.add(items.where(~old), bad)
     good = items.select("item_id", F.col("item_seq").alias("seq")).join(bad.select(F.col("item_seq").alias("seq")), "seq", "left_anti").distinct()
     # Vectors are numbered in the order of their items, so that the least partner is the earliest item's.

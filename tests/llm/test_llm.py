@@ -356,6 +356,25 @@ def test_common_lines_hide_no_repeat(spark):
     assert len(pairs) > 30 and got == sorted((up[i], i) for i in {i for i, _ in pairs} if i >= 60)
 
 
+@pytest.mark.parametrize("hot", [2, 16_384])
+def test_no_pair_needs_a_common_run(spark, monkeypatch, hot):
+    """Versions without a common run of words, many of one template, are found in two batches, against brute force."""
+    monkeypatch.setattr(history, "HOT", hot)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    template = [word() for _ in range(60)]
+    texts = [[*template, *(word() for _ in range(40))] for _ in range(12)] + [[word() for _ in range(n)] for n in (1, 2, 3, 7, 20, 130)]
+    texts += [rng.sample([word() if rng.random() < 0.1 else w for w in t], len(t)) for t in texts]
+    df = spark.createDataFrame([(n, int(n >= 18), f"id{n}", "", " ".join(t), "en", None) for n, t in enumerate(texts)], "item_seq long, batch_no int, item_id string, title string, content string, lang string, url string")
+    got = rows(history.repeats(df, spark.createDataFrame([], "vec_id long, item_id string, embedding array<float>, model string")))
+    up = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if history.distance(texts[i], texts[j]) <= 0.15]
+    for _ in texts:
+        for i, j in pairs:
+            up[i] = up[j] = min(up[i], up[j])
+    assert len(pairs) > 10 and got == sorted((up[i], i) for i in {i for i, _ in pairs} if i >= 18)
+
+
 def test_a_reopened_store_reads_only_what_is_hit(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(history, "RANGE", 10)
     items = spark.createDataFrame(story_items(), "item_seq long, batch_no int, item_id string, title string, content string, lang string, url string").fillna({"batch_no": 0})
