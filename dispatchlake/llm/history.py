@@ -6,11 +6,12 @@ each part of the keys, screen its keys, only the parts that are hit are looked u
 that hold a candidate are read. No text of history is read again: a profile holds hashes of the words, which is all that
 verification needs.
 
-Two texts that differ in at most DIFFER of their words share MOST of their first words in any fixed order of words, if
-each text gives the share that may differ and MOST more. The order is by how common words are in the first batch and
-stays with the store. Words that at most HOT texts give lead to all their pairs. If a pair shares no such word, then all
-that it shares among the first are held by more, so threes of those are joined. No pair is lost and none has to share a
-place. Bits of a text's words, whose differences are never more than those of the words, leave few pairs to verify.
+Two texts that differ in at most DIFFER of their words share one of their first words in any fixed order of words, if
+each text gives the share that may differ and one more. The order is by how common words are in the first batch and
+stays with the store. Every word leads to all pairs of the texts that give it, however many they are; words that more
+than HOT texts give are dealt over several tasks. Pairs are looked at in blocks, on bits of their words that are the more
+the longer the texts are and never differ in more places than the words do, so that few pairs are left to verify. No
+pair is lost and none has to share a place. Bits are stored once a text; the table of words holds no more than its texts.
 Copies of one text are linked to the first and looked up as one.
 """
 
@@ -21,10 +22,12 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +41,14 @@ from dispatchlake.llm.lookalike import skeleton
 #: Share of the words (characters for zh) in which two texts may differ.
 DIFFER = 0.15
 COSINE = 0.98
-#: Texts that may give a word for all its pairs to be looked at.
-HOT = 16_384
-#: Of the words that more texts give so many are asked for together, and two in texts of LONG words and more.
-MOST, LONG = 3, 100
+#: Texts that may give a word for all its pairs to be looked at in one task; those of more are dealt over several.
+HOT = 65_536
 #: Texts from which the order of words is taken, about, and words that have a place of their own in it; any order is right.
 ORDER_TEXTS, ORDER_WORDS = 20_000, 1 << 17
-#: Columns of a text's bits.
-PLACES = ("a", "b", "c", "d")
-#: Rows and pairs that are looked at together.
-ROWS, PAIRS = 250_000, 1_000_000
+#: Words of a text up to which it has 256 bits; each doubling has twice as many.
+SHORT = 150
+#: Rows of a task, about, pairs that are looked at together, and texts of one side of a block.
+ROWS, PAIRS, BLOCK = 250_000, 1 << 19, 256
 #: Keys of one Bloom filter, about; a batch has a power of two of them. And bits for each key.
 FILTER_KEYS, BITS = 500_000, 12
 #: Profiles are kept in ranges of so many item_seq.
@@ -73,11 +74,11 @@ _NO_ORDER = (np.zeros(1, np.uint32), np.zeros(1, np.int64))
 
 
 def fingerprints(words: list[str], characters: bool, h: np.ndarray | None = None, order: Order = _NO_ORDER) -> np.ndarray:
-    """The first words (characters alike) in the order, each with its count, of which any text within DIFFER shares MOST, or all it has."""
+    """The first words (characters alike) in the order, each with its count, of which any text within DIFFER shares one."""
     h = (counted(_hashes(words)) if h is None else h).astype(np.uint32)
     at = np.searchsorted(order[0], h).clip(max=len(order[0]) - 1)
     common = np.where(order[0][at] == h, order[1][at], 0)
-    return h[np.lexsort((h, common))][: int(DIFFER * len(h) + 1e-9) + MOST]
+    return h[np.lexsort((h, common))][: int(DIFFER * len(h) + 1e-9) + 1]
 
 
 def distance(a: list[str], b: list[str]) -> float:
@@ -97,25 +98,13 @@ def counted(h: np.ndarray) -> np.ndarray:
     return mix(h + nth * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _size(n: int) -> int:
-    return int(np.floor(np.log(n) / -np.log(1 - DIFFER)))
+_PROFILE = "seq long, n int, words array<int>, rare array<long>, bits binary, text long, exact array<long>"
 
 
-def _combined(words: str, k: int) -> str:
-    """SQL for the hashes of every k of a sorted array of hashes."""
-    v = f"i{k}"
-    if k == 1:
-        return words
-    rest = _combined(f"slice({words}, {v} + 1, size({words}))", k - 1)
-    return f"CASE WHEN size({words}) < {k} THEN array() ELSE flatten(transform(sequence(1, size({words}) - {k - 1}), {v} -> transform({rest}, x{k} -> xxhash64(element_at({words}, {v}), x{k})))) END"
-
-
-_PROFILE = "seq long, n int, words array<int>, rare array<long>, a long, b long, c long, d long, text long, exact array<long>"
-
-
-def _bits(h: np.ndarray) -> np.ndarray:
-    """256 bits: which places an odd number of words has; two texts differ in no more places than words."""
-    return np.packbits(np.bincount((h >> np.uint64(32) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
+def _bits(h: np.ndarray) -> bytes:
+    """256 bits and more: which places an odd number of words has; two texts differ in no more places than words, at any width both have."""
+    places = 256 << ((max(len(h), 1) - 1) // SHORT).bit_length()
+    return np.packbits(np.bincount((h >> np.uint64(32) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
 
 
 def _profiles(order: Order) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -140,10 +129,9 @@ def _profiles(order: Order) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     bits.append(_bits(each))
                     texts.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
                     n.append(len(w))
-                bits = np.array(bits, np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seqs, pa.int64()), pa.array(n, pa.int32()), lists(words, np.int32), lists(rare), *(pa.array(x.copy()) for x in bits.T), pa.array(texts, pa.int64()), part.column(4)],
-                    names=["seq", "n", "words", "rare", *PLACES, "text", "exact"],
+                    [pa.array(seqs, pa.int64()), pa.array(n, pa.int32()), lists(words, np.int32), lists(rare), pa.array(bits, pa.binary()), pa.array(texts, pa.int64()), part.column(4)],
+                    names=["seq", "n", "words", "rare", "bits", "text", "exact"],
                 )
 
     return run
@@ -157,36 +145,103 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(held.astype(np.int64))], names=["word", "held"])
 
 
-def _differ(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Words, at most, that are in one of two texts of n and m words only."""
-    return n + m - 2 * (1 - DIFFER) * np.maximum(n, m) + 1e-6
+def _widths(bits: pa.BinaryArray, words: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width in 64-bit words, from the widest: a matrix with a column for each text that has as many, and the text's column; halves fold."""
+    flat, begin = np.frombuffer(b"".join(bits.to_pylist()), np.uint64), np.append(0, np.cumsum(words))
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for w in (int(words.max()) >> k for k in range(int(words.max()).bit_length() - 2)):
+        place = np.cumsum(words >= w) - 1
+        wide = np.empty((w, place[-1] + 1), np.uint64)
+        own = np.flatnonzero(words == w)
+        wide[:, place[own]] = flat[begin[own] + np.arange(w)[:, None]]
+        if 2 * w in out:
+            more = out[2 * w][0]
+            wide[:, place[words > w]] = more[:w] ^ more[w:]
+        out[w] = wide, place
+    return out
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seq, first) of all pairs of a new text and another that give a word, but those whose sizes or bits differ too much."""
+    """(seq, first) of all pairs of a new text and another that give a word, but those whose bits differ too much.
+
+    Rows with the same key, lo and hi are looked at together; if lo and hi differ, only those of different slices are paired.
+    """
     if not (parts := list(batches)):
         return
     rows = pa.Table.from_batches(parts)
-    key, n, seq, new, *bits = (rows[c].to_numpy() for c in ("key", "n", "seq", "new", *PLACES))
-    by = np.lexsort((seq, n, key))
-    key, n, seq, new, *bits = (x[by] for x in (key, n.astype(np.int64), seq, new, *(x.view(np.uint64) for x in bits)))
-    group = np.cumsum(np.append(0, key[1:] != key[:-1])) << 32
-    place, every = group + n, np.arange(len(key))
-    end = np.searchsorted(place, group + np.floor(n / (1 - DIFFER) + 1e-6).astype(np.int64), "right")
-    begin = every + 1 if new.all() else np.searchsorted(place, group + np.ceil(n * (1 - DIFFER) - 1e-6).astype(np.int64))
-    size = np.where(new, end - begin, 0)
-    upto = np.cumsum(size)
-    cuts = np.unique(np.append(np.searchsorted(upto, np.arange(PAIRS, upto[-1], PAIRS)), len(size)))
-    for start, stop in zip(np.append(0, cuts[:-1]), cuts):
-        i = np.repeat(every[start:stop], size[start:stop])
-        j = np.arange(len(i)) - np.repeat(upto[start:stop] - size[start:stop] - (upto[start - 1] if start else 0), size[start:stop]) + begin[i]
-        left = _differ(n[i], n[j])
-        for x in bits:
-            left = left - np.bitwise_count(x[i] ^ x[j])
-            i, j, left = i[left >= 0], j[left >= 0], left[left >= 0]
-        near = (seq[i] != seq[j]) & (~new[j] | (j > i))
-        pair = np.unique(np.stack([np.maximum(seq[i[near]], seq[j[near]]), np.minimum(seq[i[near]], seq[j[near]])]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["seq", "first"])
+    key, lo, hi, part, new, n, seq = (rows[c].to_numpy() for c in ("key", "lo", "hi", "slice", "new", "n", "seq"))
+    by = np.lexsort((n, new, part, hi, lo, key))
+    key, lo, hi, part, new, n, seq = (x[by] for x in (key, lo, hi, part, new, n.astype(np.int64), seq))
+    bits = rows["bits"].combine_chunks().take(pa.array(by))
+    bits = bits.combine_chunks() if isinstance(bits, pa.ChunkedArray) else bits
+    words = pa.compute.binary_length(bits).to_numpy().astype(np.int64) // 8
+    widths, shorter = _widths(bits, words), 2 * (1 - DIFFER) - 1
+
+    def left(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words, at most, that are in one of two texts of a and b words only, and a little."""
+        return np.minimum(a - shorter * b, b - shorter * a) + 0.01
+
+    # Runs of one group, slice and age, by size; run r is held against itself and the up to three after it in its group.
+    group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+    begin = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1]) | (new[1:] != new[:-1])))
+    end, jobs = np.append(begin[1:], len(key)), []
+    for d in range(min(4, len(begin))):
+        r, o = begin[: len(begin) - d], begin[d:]
+        fit = (group[r] == group[o]) & (new[r] | new[o]) & ((lo[r] == hi[r]) | (part[r] != part[o])) & (d > 0 or lo[r] == hi[r])
+        jobs.append(np.stack([r, end[: len(begin) - d], o, end[d:]])[:, fit])
+    q0, q1, t0, t1 = np.concatenate(jobs, axis=1)
+    size = (q1 - q0) * (t1 - t0)
+
+    def few() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        small = size < BLOCK * 4
+        a, b, across, upto = q0[small], t0[small], (t1 - t0)[small], np.append(0, np.cumsum(size[small]))
+        for first in range(0, int(upto[-1]), PAIRS):
+            p = np.arange(first, min(first + PAIRS, upto[-1]))
+            j = np.searchsorted(upto, p, "right") - 1
+            p = p - upto[j]
+            i, j = a[j] + p // across[j], b[j] + p % across[j]
+            ok = (i < j) & (left(n[i], n[j]) >= 0)
+            i, j = i[ok], j[ok]
+            for w in sorted(widths):
+                both = np.minimum(words[i], words[j]) >= w
+                bit, place = widths[w]
+                near = ~both
+                near[both] = np.bitwise_count(bit[:, place[i[both]]] ^ bit[:, place[j[both]]]).sum(axis=0) <= left(n[i[both]], n[j[both]])
+                i, j = i[near], j[near]
+            yield i, j
+
+    def many() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b, c, d in zip(*(x[size >= BLOCK * 4].tolist() for x in (q0, q1, t0, t1))):
+            for s in range(a, b, BLOCK):
+                e = min(s + BLOCK, b)
+                start = s if a == c else c + int(np.searchsorted(n[c:d], int(n[s] * (1 - DIFFER) - 1e-6)))
+                stop = c + int(np.searchsorted(n[c:d], n[e - 1] / (1 - DIFFER) + 1e-6, "right"))
+                for u in range(start, stop, 8 * BLOCK):
+                    v = min(u + 8 * BLOCK, stop)
+                    bit, place = widths[int(min(words[s], words[u]))]
+                    q, t = bit[:, place[s] : place[e - 1] + 1], bit[:, place[u] : place[v - 1] + 1]
+                    differ = np.zeros((e - s, v - u), np.int32 if len(bit) > 256 else np.int16)
+                    for x, y in zip(q, t):
+                        differ += np.bitwise_count(x[:, None] ^ y)
+                    i, j = np.nonzero(differ <= left(n[s:e, None].astype(np.float32), n[u:v].astype(np.float32)))
+                    i, j = i + s, j + u
+                    yield i[i < j], j[i < j]
+
+    def pairs(of: list[np.ndarray]) -> pa.RecordBatch:
+        pair = np.unique(np.concatenate(of, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["seq", "first"])
+
+    held: list[np.ndarray] = []
+    for i, j in chain(few(), many()):
+        i, j = i[seq[i] != seq[j]], j[seq[i] != seq[j]]
+        held.append(np.stack([np.maximum(seq[i], seq[j]), np.minimum(seq[i], seq[j])]))
+        if sum(x.shape[1] for x in held[-BLOCK:]) > PAIRS or len(held) > 4 * BLOCK:
+            held = [np.unique(np.concatenate(held, axis=1), axis=1)]
+            if held[0].shape[1] > PAIRS:
+                yield pairs(held)
+                held = []
+    if held:
+        yield pairs(held)
 
 
 class _Filter:
@@ -233,6 +288,17 @@ def _screen(key: tuple, keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFra
     return keys.loc[hit, ["key", "parts", "part"]]
 
 
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with the groups (key, lo, hi) that they are looked at in: of a key in ``hot`` (key, slices) one for any two of its slices, else one."""
+    one = lambda c: F.lit(0).alias(c)
+    if hot.isEmpty():
+        return rows.select("*", one("slice"), one("lo"), one("hi"))
+    slices = F.coalesce("slices", F.lit(1))
+    sliced = rows.join(hot.select("key", "slices"), "key", "left").withColumn("slice", F.pmod(F.xxhash64("seq"), slices).cast("int"))
+    other = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+    return other.select(*rows.columns, "slice", F.least("slice", "other").alias("lo"), F.greatest("slice", "other").alias("hi"))
+
+
 def _let_go(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffles and broadcasts of what is no longer referred to."""
     gc.collect()
@@ -312,23 +378,21 @@ class History:
 
         # What is near: different texts by their first words in the order.
         texts = kept.join(links.where("whole").select("seq"), "seq", "left_anti")
-        # How many words the text gives after this one; texts of fewer than MOST give all for any number together.
-        after = F.when(F.size("rare") < MOST, F.lit(MOST)).otherwise(F.size("rare") - F.col("pos") - 1).cast("int")
-        keys = texts.select("seq", "n", *PLACES, "rare", F.posexplode("rare").alias("pos", "key")).select("key", "seq", "n", *PLACES, after.alias("after"))
-        schema = "key long, seq long, n int, a long, b long, c long, d long, after int, part int"
-        asked = scratch.keep(keys.select("key").distinct()) if self.parts else keys
-        every = keys.withColumn("new", F.lit(True)).unionByName(self._found("holders", schema, asked).drop("part").withColumn("new", F.lit(False)))
+        keys = texts.select(F.explode("rare").alias("key"), "seq")
+        given = mine.agg(F.sum(F.size("rare"))).first()[0] or 0
+        every = texts.select(F.explode("rare").alias("key"), "seq", "n", "bits", F.lit(True).alias("new"))
+        gave = keys.select("key")
         if self.parts:
-            every = scratch.keep(every)
+            old = scratch.keep(self._found("holders", "key long, seq long, part int", scratch.keep(gave.distinct())).select("key", "seq"))
+            gave = gave.unionByName(old.select("key"))
+            every = every.unionByName(self._profiles_of(old, None).select("key", "seq", "n", "bits", F.lit(False).alias("new")))
             _let_go(self.spark)
-        given = mine.agg(F.sum(F.size("rare"))).first()[0] or 0
-        hot = scratch.keep(every.groupBy("key").agg(F.count("*").alias("held")).where(f"held > {HOT}").select("key"))
-        _let_go(self.spark)
-        parts = 1 + (every.count() if self.parts else given) // ROWS
-        pairs = scratch.keep(every.join(hot, "key", "left_anti").repartition(parts, "key").mapInArrow(_meet, "seq long, first long"))
+        held = gave.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > HOT)
+        hot = scratch.keep(held.select("key", "held", F.ceil(F.col("held") / HOT).cast("int").alias("slices")))
+        more = hot.agg(F.sum(F.col("held") * (F.col("slices") - 1))).first()[0] or 0
+        parts = 1 + (more + (gave.count() if self.parts else given)) // ROWS
+        pairs = scratch.keep(_dealt(every, hot).repartition(parts, "key", "lo", "hi").mapInArrow(_meet, "seq long, first long"))
         _let_go(self.spark)
-        if not hot.isEmpty():
-            pairs = pairs.unionByName(self._together(scratch, every.join(hot, "key", "left_semi")))
         pairs = scratch.keep(pairs.distinct())
         used = pairs.select("seq", F.lit(True).alias("new")).unionByName(pairs.select(F.col("first").alias("seq"), F.lit(True).alias("new"))).distinct()
         words = scratch.keep(self._profiles_of(used, mine).select("seq", "n", "words"))
@@ -348,24 +412,6 @@ class History:
         _let_go(self.spark)
         return links
 
-    def _together(self, scratch: Scratch, hot: DataFrame) -> DataFrame:
-        """(seq, first) of the pairs that share MOST of their words that many texts give."""
-        size = F.floor(F.log(F.greatest("n", F.lit(1))) / -np.log(1 - DIFFER)).cast("int")  # texts within DIFFER have neighbouring sizes
-        word = scratch.keep(hot.withColumnRenamed("key", "word").withColumn("size", size))
-        together = F.when(F.col("size") < _size(2), 1).when((F.col("size") < _size(3)) | (F.col("size") > _size(LONG)), 2).otherwise(MOST)
-        enough = F.col("after") >= MOST - together
-        asks = word.where("new").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).where(enough)
-        # Only words that another text asks for, or holds, can be part of what two have in common.
-        others = lambda df, by: df.join(by.groupBy("word", "size").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")), ["word", "size"]).where("lo <> seq or hi <> seq").drop("lo", "hi")
-        held = scratch.keep(others(word.where(enough), asks))
-        asks = others(asks, held)
-        by = ["seq", "n", *PLACES, "size"]
-        threes = lambda df: df.groupBy(*by).agg(F.sort_array(F.collect_set("word")).alias("w")).select(*by, F.explode(F.when(together == 1, F.col("w")).when(together == 2, F.expr(_combined("w", 2))).otherwise(F.expr(_combined("w", 3)))).alias("key"))
-        first = threes(held).select("key", "size", *(F.col(c).alias(f"{c}_first") for c in ("n", *PLACES)), F.col("seq").alias("first"))
-        near = f"seq > first and {' + '.join(f'bit_count({c} ^ {c}_first)' for c in PLACES)} <= n + n_first - {2 * (1 - DIFFER)} * greatest(n, n_first) + 1e-6"
-        sizes = f"n_first >= {1 - DIFFER - 1e-9} * n and n >= {1 - DIFFER - 1e-9} * n_first"
-        return threes(asks).join(first, ["key", "size"]).where(f"{near} and {sizes}").select("seq", "first").distinct()
-
     def _order(self, items: DataFrame) -> Order:
         """Words and how many texts hold them, of a part of the store's first batch; of the others none is known."""
         at = f"{self.path}/order"
@@ -376,12 +422,12 @@ class History:
         rows = self.spark.read.schema("word long, held long").parquet(at).toArrow().sort_by("word")  # at most ORDER_WORDS
         return (rows["word"].to_numpy().astype(np.uint32), rows["held"].to_numpy()) if len(rows) else _NO_ORDER
 
-    def _profiles_of(self, wanted: DataFrame, mine: DataFrame) -> DataFrame:
-        """Profiles of the wanted items (seq, new), read only from the ranges of earlier batches that hold one."""
-        schema = "seq long, n int, words array<int>, rare array<long>, a long, b long, c long, d long, text long, exact array<long>, range int"
+    def _profiles_of(self, wanted: DataFrame, mine: DataFrame | None) -> DataFrame:
+        """Profiles of the wanted items (seq and what else), read only from the ranges of earlier batches that hold one, and of ``mine``."""
+        schema = f"{_PROFILE}, range int"
         ranges = [r["range"] for r in wanted.select(F.floor(F.col("seq") / RANGE).cast("int").alias("range")).distinct().toLocalIterator()]  # one number a range
         old = self._old("profiles", schema, dict.fromkeys(range(len(self.parts)), ranges), "range")
-        return old.unionByName(mine.select(*old.columns)).join(wanted, "seq")
+        return (old.unionByName(mine.select(*old.columns)) if mine is not None else old).join(wanted, "seq")
 
     def links(self) -> DataFrame:
         """All links found so far."""

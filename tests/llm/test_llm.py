@@ -375,6 +375,18 @@ def test_no_pair_needs_a_common_run(spark, monkeypatch, hot):
     assert len(pairs) > 10 and got == sorted((up[i], i) for i in {i for i, _ in pairs} if i >= 18)
 
 
+def test_bits_tell_long_texts_apart():
+    """Unrelated texts of some hundred characters differ in more places than near ones may, so that few pairs are left to verify."""
+    rng = np.random.default_rng(11)
+    text = lambda: history.counted(history._hashes([chr(0x4E00 + int(x)) for x in rng.integers(0, 400, 500)]))
+    bits = lambda h: np.unpackbits(np.frombuffer(bytes(history._bits(h)), np.uint8))
+    a = [text() for _ in range(20)]
+    near = a[0].copy()
+    near[::7] = np.arange(len(near[::7]))
+    assert (bits(a[0]) ^ bits(near)).sum() <= 2 * 0.15 * 500
+    assert min((bits(a[i]) ^ bits(a[j])).sum() for i in range(20) for j in range(i)) > 2 * 0.15 * 500
+
+
 def test_a_reopened_store_reads_only_what_is_hit(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(history, "RANGE", 10)
     items = spark.createDataFrame(story_items(), "item_seq long, batch_no int, item_id string, title string, content string, lang string, url string").fillna({"batch_no": 0})
