@@ -48,7 +48,7 @@ ORDER_TEXTS, ORDER_WORDS = 20_000, 1 << 17
 #: Words of a text up to which it has 256 bits; each doubling has twice as many.
 SHORT = 150
 #: Rows of a task, about, pairs that are looked at together, and texts of one side of a block.
-ROWS, PAIRS, BLOCK = 250_000, 1 << 19, 256
+ROWS, PAIRS, BLOCK = 250_000, 1 << 19, 64
 #: Keys of one Bloom filter, about; a batch has a power of two of them. And bits for each key.
 FILTER_KEYS, BITS = 500_000, 12
 #: Profiles are kept in ranges of so many item_seq.
@@ -181,6 +181,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words, at most, that are in one of two texts of a and b words only, and a little."""
         return np.minimum(a - shorter * b, b - shorter * a) + 0.01
 
+    def wider(i: np.ndarray, j: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those pairs that differ little at all widths beyond ``done`` that both have."""
+        for w in sorted(w for w in widths if w > done):
+            both = np.minimum(words[i], words[j]) >= w
+            bit, place = widths[w]
+            near = ~both
+            near[both] = np.bitwise_count(bit[:, place[i[both]]] ^ bit[:, place[j[both]]]).sum(axis=0) <= left(n[i[both]], n[j[both]])
+            i, j = i[near], j[near]
+        return i, j
+
     # Runs of one group, slice and age, by size; run r is held against itself and the up to three after it in its group.
     group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
     begin = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1]) | (new[1:] != new[:-1])))
@@ -193,7 +203,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = (q1 - q0) * (t1 - t0)
 
     def few() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        small = size < BLOCK * 4
+        small = size < BLOCK * 16
         a, b, across, upto = q0[small], t0[small], (t1 - t0)[small], np.append(0, np.cumsum(size[small]))
         for first in range(0, int(upto[-1]), PAIRS):
             p = np.arange(first, min(first + PAIRS, upto[-1]))
@@ -201,17 +211,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = p - upto[j]
             i, j = a[j] + p // across[j], b[j] + p % across[j]
             ok = (i < j) & (left(n[i], n[j]) >= 0)
-            i, j = i[ok], j[ok]
-            for w in sorted(widths):
-                both = np.minimum(words[i], words[j]) >= w
-                bit, place = widths[w]
-                near = ~both
-                near[both] = np.bitwise_count(bit[:, place[i[both]]] ^ bit[:, place[j[both]]]).sum(axis=0) <= left(n[i[both]], n[j[both]])
-                i, j = i[near], j[near]
-            yield i, j
+            yield wider(i[ok], j[ok], 0)
 
     def many() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for a, b, c, d in zip(*(x[size >= BLOCK * 4].tolist() for x in (q0, q1, t0, t1))):
+        for a, b, c, d in zip(*(x[size >= BLOCK * 16].tolist() for x in (q0, q1, t0, t1))):
             for s in range(a, b, BLOCK):
                 e = min(s + BLOCK, b)
                 start = s if a == c else c + int(np.searchsorted(n[c:d], int(n[s] * (1 - DIFFER) - 1e-6)))
@@ -225,21 +228,24 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         differ += np.bitwise_count(x[:, None] ^ y)
                     i, j = np.nonzero(differ <= left(n[s:e, None].astype(np.float32), n[u:v].astype(np.float32)))
                     i, j = i + s, j + u
-                    yield i[i < j], j[i < j]
+                    yield wider(i[i < j], j[i < j], len(bit))
 
     def pairs(of: list[np.ndarray]) -> pa.RecordBatch:
         pair = np.unique(np.concatenate(of, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["seq", "first"])
 
     held: list[np.ndarray] = []
+    count = 0
     for i, j in chain(few(), many()):
         i, j = i[seq[i] != seq[j]], j[seq[i] != seq[j]]
         held.append(np.stack([np.maximum(seq[i], seq[j]), np.minimum(seq[i], seq[j])]))
-        if sum(x.shape[1] for x in held[-BLOCK:]) > PAIRS or len(held) > 4 * BLOCK:
+        count += len(i)
+        if count > PAIRS or len(held) > 1000:
             held = [np.unique(np.concatenate(held, axis=1), axis=1)]
-            if held[0].shape[1] > PAIRS:
+            if held[0].shape[1] > PAIRS // 2:
                 yield pairs(held)
                 held = []
+            count = sum(x.shape[1] for x in held)
     if held:
         yield pairs(held)
 
@@ -359,8 +365,9 @@ class History:
         scratch = Scratch(self.spark)
         address = F.when(F.trim("url") != "", F.concat(F.lit("u"), normalized_url(F.col("url"))))
         story = F.concat(F.lit("c"), content_fingerprint(F.col("title"), F.col("content")))
-        exact = F.array(*(f for x in (address, story) for f in (F.when(x.isNotNull(), F.xxhash64(x)), F.when(x.isNotNull(), F.xxhash64(F.lit(9), x)))))
-        made = items.select("item_seq", "title", "content", "lang", exact.alias("exact")).mapInArrow(_profiles(self._order(items)), _PROFILE)
+        exact = F.array(*(f for x in (F.col("address"), F.col("story")) for f in (F.when(x.isNotNull(), F.xxhash64(x)), F.when(x.isNotNull(), F.xxhash64(F.lit(9), x)))))
+        read = items.select("item_seq", "title", "content", "lang", address.alias("address"), story.alias("story"))  # each is found once
+        made = read.select("item_seq", "title", "content", "lang", exact.alias("exact")).mapInArrow(_profiles(self._order(items)), _PROFILE)
         mine = self._write(made.withColumn("range", F.floor(F.col("seq") / RANGE).cast("int")), "profiles", "range")
 
         kept = mine.join(left_out.select(F.col("item_seq").alias("seq")).distinct(), "seq", "left_anti")  # without a shuffle of texts
