@@ -21,8 +21,8 @@ import gc
 import re
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.functions.ids import content_fingerprint, normalized_url
+from dispatchlake.functions.ids import normalized_url
 from dispatchlake.functions.tables import Scratch, cut, file_system, remove, shared_folder, table
 from dispatchlake.llm import components, residue, vectors
 from dispatchlake.llm.hashing import mix
@@ -45,6 +45,8 @@ COSINE = 0.98
 HOT = 65_536
 #: Texts from which the order of words is taken, about, and words that have a place of their own in it; any order is right.
 ORDER_TEXTS, ORDER_WORDS = 20_000, 1 << 17
+#: Words whose hashes a task remembers, at most.
+KNOWN_WORDS = 1 << 18
 #: Words of a text up to which it has 256 bits; each doubling has twice as many.
 SHORT = 150
 #: Rows of a task, about, pairs that are looked at together, and texts of one side of a block.
@@ -55,6 +57,8 @@ FILTER_KEYS, BITS = 500_000, 12
 RANGE = 1 << 18
 _CJK = re.compile("[㐀-鿿豈-﫿]")
 _SPACE = re.compile(r"\s+")
+#: Addresses that are in their normal form already.
+_PLAIN_URL = r"^https?://[a-z0-9.-]+(?:/[^?#\s]*[^?#/\s])?\z"
 
 
 def pieces(title: str | None, content: str | None, lang: str | None) -> tuple[list[str], bool]:
@@ -65,20 +69,43 @@ def pieces(title: str | None, content: str | None, lang: str | None) -> tuple[li
     return text.split(), False
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf8", "surrogatepass")) for w in words), np.uint64, len(words))
+class _Hashes(dict):
+    """Words with their hashes: a word that comes again is not hashed again."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word.encode("utf8", "surrogatepass"))
+        if len(word) <= 64:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_HASH = _Hashes()
+
+
+def _hashes(words: Iterable[str], n: int | None = None) -> np.ndarray:
+    return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words) if n is None else n)
 
 
 Order = tuple[np.ndarray, np.ndarray]
 _NO_ORDER = (np.zeros(1, np.uint32), np.zeros(1, np.int64))
 
 
-def fingerprints(words: list[str], characters: bool, h: np.ndarray | None = None, order: Order = _NO_ORDER) -> np.ndarray:
+def fingerprints(words: list[str], characters: bool, order: Order = _NO_ORDER) -> np.ndarray:
     """The first words (characters alike) in the order, each with its count, of which any text within DIFFER shares one."""
-    h = (counted(_hashes(words)) if h is None else h).astype(np.uint32)
-    at = np.searchsorted(order[0], h).clip(max=len(order[0]) - 1)
-    common = np.where(order[0][at] == h, order[1][at], 0)
-    return h[np.lexsort((h, common))][: int(DIFFER * len(h) + 1e-9) + 1]
+    return _firsts(counted(_hashes(words)), np.array([0, len(words)]), order)[0]
+
+
+def _firsts(h: np.ndarray, begin: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of up to 2048 texts whose counted words begin there, and how many each has."""
+    low, n = h.astype(np.uint32), np.diff(begin)
+    at = np.searchsorted(order[0], low).clip(max=len(order[0]) - 1)
+    common = np.where(order[0][at] == low, order[1][at], 0).clip(max=(1 << 21) - 1).astype(np.uint64)
+    own = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    sorted_ = np.sort(own << np.uint64(53) | common << np.uint64(32) | low)
+    gives = np.minimum(np.floor(DIFFER * n + 1e-9).astype(np.int64) + 1, n)
+    return sorted_[np.arange(len(h)) - np.repeat(begin[:-1], n) < np.repeat(gives, n)].astype(np.uint32), gives
 
 
 def distance(a: list[str], b: list[str]) -> float:
@@ -88,14 +115,20 @@ def distance(a: list[str], b: list[str]) -> float:
     return 1 - sum((Counter(a) & Counter(b)).values()) / max(len(a), len(b))
 
 
-def counted(h: np.ndarray) -> np.ndarray:
-    """Each word's hash with how often the text had it before, so that the common part of two texts is that of two sets."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    start = np.maximum.accumulate(np.where(np.append(True, s[1:] != s[:-1]), np.arange(len(s)), 0)) if len(s) else np.zeros(0, int)
-    nth = np.empty(len(s), np.uint64)
-    nth[order] = (np.arange(len(s)) - start).astype(np.uint64)
-    return mix(h + nth * np.uint64(0xD6E8FEB86659FD93))
+def counted(h: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
+    """Each word's hash with how often the text had it before, so that the common part of two texts is that of two sets.
+
+    ``begin``: where texts begin and end, if there are several; the words of each come out in another order.
+    """
+    s, begin = h.copy(), np.array([0, len(h)]) if begin is None else begin
+    for a, b in pairwise(begin.tolist()):
+        s[a:b].sort()
+    place = np.arange(len(s))
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    new[begin[:-1][np.diff(begin) > 0]] = True
+    nth = place - np.maximum.accumulate(np.where(new, place, 0))
+    return mix(s + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 _PROFILE = "seq long, n int, words array<int>, rare array<long>, bits binary, text long, exact array<long>"
@@ -103,34 +136,51 @@ _PROFILE = "seq long, n int, words array<int>, rare array<long>, bits binary, te
 
 def _bits(h: np.ndarray) -> bytes:
     """256 bits and more: which places an odd number of words has; two texts differ in no more places than words, at any width both have."""
-    places = 256 << ((max(len(h), 1) - 1) // SHORT).bit_length()
-    return np.packbits(np.bincount((h >> np.uint64(32) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
+    return _bits_of(h, np.array([0, len(h)]))[0].tobytes()
+
+
+def _bits_of(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of several texts whose counted words begin there, as bytes, and where those of each begin and end."""
+    n = np.diff(begin)
+    places = 256 << np.ceil(np.log2(np.maximum(n - 1, 0) // SHORT + 1)).astype(np.int64)
+    start = np.append(0, np.cumsum(places))
+    at = (h >> np.uint64(32)).astype(np.int64) & np.repeat(places - 1, n)
+    return np.packbits((np.bincount(at + np.repeat(start[:-1], n), minlength=start[-1]) & 1).astype(np.uint8)), start // 8
+
+
+def _exact(kind: str, value: str | None) -> tuple[int | None, int | None]:
+    """Key and check of an address or a whole story."""
+    if value is None:
+        return None, None
+    h = xxhash.xxh3_128_intdigest(f"{kind}{value}".encode("utf8", "surrogatepass"))
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
 def _profiles(order: Order) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each item its words and its first in the order as hashes, its bits, and the hash of its whole text."""
+    """Of each item its words and its first in the order as hashes, its bits, the hash of its whole text, and what it has in common with its copies."""
 
-    def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
-        flat = np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32), pa.array(flat.astype(kind)))
+    def lists(flat: np.ndarray, begin: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, len(b), 2000):
                 part = b.slice(i, 2000)
-                seqs, titles, contents, langs = (part.column(j).to_pylist() for j in range(4))
-                words, rare, bits, texts, n = [], [], [], [], []
-                for t, c, g in zip(titles, contents, langs):
-                    w, characters = pieces(t, c, g)
-                    h = _hashes(w)
-                    each = counted(h)
-                    words.append(each)
-                    rare.append(fingerprints(w, characters, each, order))
-                    bits.append(_bits(each))
-                    texts.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
-                    n.append(len(w))
+                titles, contents, langs, addresses = (part.column(j).to_pylist() for j in range(1, 5))
+                words = [pieces(*x)[0] for x in zip(titles, contents, langs)]
+                n = np.fromiter(map(len, words), np.int64, len(words))
+                begin = np.append(0, np.cumsum(n))
+                h = _hashes(chain.from_iterable(words), int(begin[-1]))
+                texts = [xxhash.xxh64_intdigest(h[x:y].tobytes()) - (1 << 63) for x, y in pairwise(begin.tolist())]
+                each = counted(h, begin)
+                first, gives = _firsts(each, begin, order)
+                bits, start = _bits_of(each, begin)
+                same = [(*_exact("u", a), *_exact("c", " ".join(f"{t or ''}\n{c or ''}".split()).lower())) for t, c, a in zip(titles, contents, addresses)]  # content_fingerprint's text
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seqs, pa.int64()), pa.array(n, pa.int32()), lists(words, np.int32), lists(rare), pa.array(bits, pa.binary()), pa.array(texts, pa.int64()), part.column(4)],
+                    [
+                        part.column(0), pa.array(n, pa.int32()), lists(each.astype(np.uint32).view(np.int32), begin, pa.int32()), lists(first.astype(np.int64), np.append(0, np.cumsum(gives)), pa.int64()),
+                        pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(bits)]), pa.array(texts, pa.int64()), pa.array(same, pa.list_(pa.int64())),
+                    ],
                     names=["seq", "n", "words", "rare", "bits", "text", "exact"],
                 )
 
@@ -140,8 +190,9 @@ def _profiles(order: Order) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of each batch hold a word."""
     for b in batches:
-        h = [counted(_hashes(pieces(*x)[0])).astype(np.uint32) for x in zip(*(b.column(j).to_pylist() for j in range(3)))]
-        word, held = np.unique(np.concatenate([np.zeros(0, np.uint32), *h]), return_counts=True)
+        words = [pieces(*x)[0] for x in zip(*(b.column(j).to_pylist() for j in range(3)))]
+        begin = np.append(0, np.cumsum([len(w) for w in words], dtype=np.int64))
+        word, held = np.unique(counted(_hashes(chain.from_iterable(words), int(begin[-1])), begin).astype(np.uint32), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(held.astype(np.int64))], names=["word", "held"])
 
 
@@ -322,7 +373,8 @@ class History:
 
     def _write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         here = f"{self.path}/{name}/{len(self.parts)}"
-        (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(here)
+        write = df.write.option("parquet.enable.dictionary", name != "profiles")  # hashes hardly recur there
+        (write.partitionBy(by) if by else write).mode("overwrite").parquet(here)
         return self.spark.read.schema(df.schema).parquet(here)
 
     def _old(self, name: str, schema: str, only: dict[int, list[int]] | None = None, by: str = "part") -> DataFrame:
@@ -363,11 +415,9 @@ class History:
         in ``left_out`` have no keys. The work follows the batch, but that holders of its words that many give are read.
         """
         scratch = Scratch(self.spark)
-        address = F.when(F.trim("url") != "", F.concat(F.lit("u"), normalized_url(F.col("url"))))
-        story = F.concat(F.lit("c"), content_fingerprint(F.col("title"), F.col("content")))
-        exact = F.array(*(f for x in (F.col("address"), F.col("story")) for f in (F.when(x.isNotNull(), F.xxhash64(x)), F.when(x.isNotNull(), F.xxhash64(F.lit(9), x)))))
-        read = items.select("item_seq", "title", "content", "lang", address.alias("address"), story.alias("story"))  # each is found once
-        made = read.select("item_seq", "title", "content", "lang", exact.alias("exact")).mapInArrow(_profiles(self._order(items)), _PROFILE)
+        address = F.when(F.trim("url") != "", F.when(F.col("url").rlike(_PLAIN_URL), F.col("url")).otherwise(normalized_url(F.col("url"))))
+        read = items.select("item_seq", "title", "content", "lang", address.alias("address"))
+        made = read.mapInArrow(_profiles(self._order(items)), _PROFILE)
         mine = self._write(made.withColumn("range", F.floor(F.col("seq") / RANGE).cast("int")), "profiles", "range")
 
         kept = mine.join(left_out.select(F.col("item_seq").alias("seq")).distinct(), "seq", "left_anti")  # without a shuffle of texts

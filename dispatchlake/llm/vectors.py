@@ -385,19 +385,19 @@ def links(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
     # At most MOST_LISTS rows for each kind.
     long_lists = {(r["kind"], r["list"]): -(-r["count"] // BLOCK) for r in counts.toLocalIterator()}
 
-    def search(f: pd.DataFrame) -> pd.DataFrame:
-        code = indexes.value[f["kind"].iloc[0]].code
-        f = f.drop_duplicates(["vec_id", "side"])
-        x = _unit(np.stack(f["embedding"].to_numpy()).astype(np.float64))
-        ids = f["vec_id"].to_numpy()
-        codes = np.frombuffer(b"".join(f["codes"]), np.uint8).reshape(len(f), -1)
-        a, b = (np.flatnonzero(f["side"].to_numpy() == s) for s in (0, 1))
-        if f["b1"].iloc[0] == f["b2"].iloc[0]:
+    def search(t: pa.Table) -> pa.Table:
+        code = indexes.value[t["kind"][0].as_py()].code
+        t = t.take(np.flatnonzero(~t.select(["vec_id", "side"]).to_pandas().duplicated().to_numpy()))
+        x = _unit(_matrix(t["embedding"].combine_chunks()).astype(np.float64))
+        ids, side = t["vec_id"].to_numpy(), t["side"].to_numpy()
+        codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(len(t), -1)
+        a, b = (np.flatnonzero(side == s) for s in (0, 1))
+        if t["b1"][0].as_py() == t["b2"][0].as_py():
             b = a
         low, high = _links(code, x[a], ids[a], x[b], ids[b], codes[b], least) if len(a) and len(b) else (ids[:0], ids[:0])
-        return pd.DataFrame({"vec_id": high, "other": low})
+        return pa.table({"vec_id": pa.array(high, pa.int64()), "other": pa.array(low, pa.int64())})
 
-    near = _spread(alone, indexes, long_lists, False).groupBy("kind", "list", "b1", "b2").applyInPandas(search, "vec_id long, other long")
+    near = _spread(alone, indexes, long_lists, False).groupBy("kind", "list", "b1", "b2").applyInArrow(search, "vec_id long, other long")
     return near.unionByName(members).distinct()
 
 

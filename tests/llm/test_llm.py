@@ -1,10 +1,13 @@
 import random
+import re
 import shutil
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 llm = pytest.importorskip("dispatchlake.llm")
@@ -252,6 +255,14 @@ def test_templates_of_unknown_words(spark):
     assert find(page + series) == [*((i, "content") for i in range(4)), (9, "title"), (10, "content"), (11, "content")]
 
 
+def test_units_end_at_stops():
+    """The quick way to cut units gives what the rule says: blanks after a stop, a wide stop, or the end of a line."""
+    rng = random.Random(14)
+    for _ in range(5000):
+        t = "".join(rng.choice(" \n\t.!?…。！？a1\u3000") for _ in range(rng.randrange(12)))
+        assert residue._units(t) == re.split(r"(?<=[.!?…])\s+|(?<=。)|(?<=！)|(?<=？)|\n", t), t
+
+
 # p4
 
 
@@ -387,6 +398,23 @@ def test_bits_tell_long_texts_apart():
     assert min((bits(a[i]) ^ bits(a[j])).sum() for i in range(20) for j in range(i)) > 2 * 0.15 * 500
 
 
+def test_a_word_is_hashed_once(monkeypatch):
+    """Words that come again take no second hash, and texts looked at together have what they have alone."""
+    hashed, real = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(history.xxhash, "xxh64_intdigest", lambda x: hashed.append(x) or real(x))
+    rng = random.Random(13)
+    texts = ["", *(" ".join(f"onceword{rng.randrange(60)}" for _ in range(n)) for n in (1, 2, 7, 40, 151, 152, 301, 700)), "Onceword1  \n ONCEWORD2", " onceword1 onceword2 "]
+    columns = [list(range(len(texts))), [None] * len(texts), texts, ["en"] * len(texts), [None, "http://e.org/1", *[""] * (len(texts) - 2)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()))], names=list("abcde"))
+    got = [r for b in history._profiles(history._NO_ORDER)([batch]) for r in b.to_pylist()]
+    assert sum(b"onceword" in x for x in set(hashed)) > 50 and max(Counter(x for x in hashed if x.startswith(b"onceword")).values()) == 1
+    for r, t in zip(got, texts, strict=True):
+        h = history.counted(history._hashes(t.split()))
+        assert r["n"] == len(t.split()) and sorted(r["words"]) == sorted(h.astype(np.uint32).view(np.int32).tolist())
+        assert sorted(r["rare"]) == sorted(history.fingerprints(t.split(), False).tolist()) and r["bits"] == history._bits(h)
+    assert got[-1]["exact"][2:] == got[-2]["exact"][2:] != got[-3]["exact"][2:] and got[0]["exact"][:2] == [None, None] != got[1]["exact"][:2]
+
+
 def test_a_reopened_store_reads_only_what_is_hit(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(history, "RANGE", 10)
     items = spark.createDataFrame(story_items(), "item_seq long, batch_no int, item_id string, title string, content string, lang string, url string").fillna({"batch_no": 0})
